@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65_536
-_COARSE = 4_096
+# Rows per block where the totals of all blocks of a table meet in one task.
+TABLE_BLOCK_ROWS = 1 << 20
 
 
 def row_block(ordinal: Column | str, rows: int = BLOCK_ROWS) -> Column:
@@ -52,13 +53,17 @@ def carry(
     *,
     inclusive: bool = True,
     backward: bool = False,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Add `out`: the nearest non-null `value` at or above the row (below it if `backward`).
 
     With `inclusive=False` the row itself does not count, which makes this a lag or lead.
     The big side is shuffled once, on (keys, block); the carried side holds one row per block.
+    `edges` may give the same rows by a cheaper plan, if `value` needs no column that only `df`
+    has; the block rows are then taken from there.
     """
     tagged = df.withColumn("_value", value)
+    plain = tagged if edges is None else edges.withColumn("_value", value)
     pick = F.min_by if backward else F.max_by
     spot = F.when(F.col("_value").isNotNull(), F.struct(*order))
     earlier = (
@@ -67,7 +72,7 @@ def carry(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
-        tagged.groupBy(*keys, block)
+        plain.groupBy(*keys, block)
         .agg(pick("_value", spot).alias("_edge"))
         .withColumn("_carry", F.last("_edge", ignorenulls=True).over(earlier))
         .where(F.col("_carry").isNotNull())
@@ -95,52 +100,31 @@ def running_total(
     order: Sequence[str],
     value: Column,
     out: str,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add `out`: the sum of `value` over all rows above the row, in `order`, per `keys`.
 
-    Without `keys` the sum runs over the whole table; block totals are then added up in two
-    steps so that not even those meet in one task unless there are few.
+    Without `keys` the sum runs over the whole table; only the block totals then meet in one
+    task, one row per block. `sizes` may give those totals (`keys`, block, `_total`) where they
+    are cheaper to get than from `df`; several rows per block are added up.
     """
     tagged = df.withColumn("_value", value)
-    totals = (
-        tagged.groupBy(*keys, block)
-        .agg(F.sum("_value").alias("_total"))
-        .withColumn("_coarse", F.floor(F.col(block) / F.lit(_COARSE)).cast("bigint"))
-    )
+    if sizes is None:
+        sizes = tagged.select(*keys, block, F.col("_value").alias("_total"))
     above = (Window.unboundedPreceding, -1)
-    coarse = (
-        totals.groupBy(*keys, "_coarse")
-        .agg(F.sum("_total").alias("_coarse_total"))
-        .withColumn(
-            "_coarse_above",
-            F.coalesce(
-                F.sum("_coarse_total").over(
-                    Window.partitionBy(*keys).orderBy("_coarse").rowsBetween(*above)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("_coarse_total")
-    )
+    by_block = Window.partitionBy(*keys).orderBy(block).rowsBetween(*above)
     offsets = (
-        totals.join(coarse, [*keys, "_coarse"])
-        .withColumn(
-            "_above",
-            F.col("_coarse_above")
-            + F.coalesce(
-                F.sum("_total").over(
-                    Window.partitionBy(*keys, "_coarse").orderBy(block).rowsBetween(*above)
-                ),
-                F.lit(0),
-            ),
-        )
-        .select(*keys, block, "_above")
+        sizes.groupBy(*keys, block)
+        .agg(F.sum("_total").alias("_total"))
+        .select(*keys, block, F.sum("_total").over(by_block).alias("_above"))
+        .where(F.col("_above").isNotNull())
     )
     inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(*above)
+    zero = F.lit(0)
     return (
         tagged.join(offsets, [*keys, block], "left")
         .withColumn(
-            out, F.col("_above") + F.coalesce(F.sum("_value").over(inside), F.lit(0))
+            out, F.coalesce("_above", zero) + F.coalesce(F.sum("_value").over(inside), zero)
         )
         .drop("_value", "_above")
     )
@@ -153,12 +137,14 @@ def ordinal(
     order: Sequence[str],
     out: str = "ord",
     start: int = 1,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add `out`: the dense position of the row in `order`, per `keys` or over the whole table.
 
-    The order columns must identify a row inside its group.
+    The order columns must identify a row inside its group. `sizes`: see `running_total`.
     """
-    counted = running_total(df, keys, block, order, F.lit(1).cast("bigint"), "_above_rows")
-    return counted.withColumn(out, F.col("_above_rows") + F.lit(start).cast("bigint")).drop(
-        "_above_rows"
+    one = F.lit(1).cast("bigint")
+    counted = running_total(df, keys, block, order, one, "_rows_above", sizes)
+    return counted.withColumn(out, F.col("_rows_above") + F.lit(start).cast("bigint")).drop(
+        "_rows_above"
     )

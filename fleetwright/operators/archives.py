@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 DUMP_EXTENSIONS = [".sql", ".dump", ".zip", ".sql.gz"]
 TABLE_OF_CONTENTS = "toc.dat"
 
-_NAME = "^(.*)_([^_]*)_([^_]*)$"
-
 
 def base_name(path: Column | str) -> Column:
     col = F.col(path) if isinstance(path, str) else path
@@ -32,13 +30,20 @@ def parse_archive_name(df: DataFrame, filename: str = "filename") -> DataFrame:
     `_` at the very end closes the last part. Fewer than three parts are invalid.
     """
     stem = F.regexp_replace(base_name(filename), r"\.tar\.gz$", "")
-    stem = F.regexp_replace(stem, "_$", "")
-    valid = F.coalesce(stem.rlike(_NAME), F.lit(False))
-
-    def part(i: int) -> Column:
-        return F.when(valid, F.regexp_extract(stem, _NAME, i))
-
-    return df.withColumns({"db": part(1), "version": part(2), "stamp": part(3), "valid": valid})
+    parts = F.split(F.regexp_replace(stem, "_$", ""), "_")
+    valid = F.size("_parts") >= 3
+    return (
+        df.withColumn("_parts", F.coalesce(parts, F.array().cast("array<string>")))
+        .withColumns(
+            {
+                "db": F.when(valid, F.array_join(F.slice("_parts", 1, F.size("_parts") - 2), "_")),
+                "version": F.when(valid, F.element_at("_parts", -2)),
+                "stamp": F.when(valid, F.element_at("_parts", -1)),
+                "valid": valid,
+            }
+        )
+        .drop("_parts")
+    )
 
 
 def latest_archive(

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.functions.blocks import ordinal, row_block
+from fleetwright.functions.blocks import TABLE_BLOCK_ROWS, ordinal, row_block
 from fleetwright.functions.text import or_default
 
 # Fixed value: the languages taken where none are given.
@@ -93,7 +93,7 @@ def first_wins_dedup(
         .agg(F.min(F.struct(rank, seq, *rest)).alias("_first"))
         .select(name, *[F.col(f"_first.{c}").alias(c) for c in [rank, seq, *rest]])
     )
-    block = F.col(rank).cast("bigint") * F.lit(1 << 44) + row_block(seq)
+    block = F.col(rank).cast("bigint") * F.lit(1 << 40) + row_block(seq, TABLE_BLOCK_ROWS)
     placed = ordinal(winners.withColumn("_block", block), [], "_block", [rank, seq], "ord")
     return placed.drop("_block")
 

@@ -91,12 +91,20 @@ def config_drop_commented(lines: DataFrame, *keys: str) -> DataFrame:
     return lines.where(~commented_definition(keys))
 
 
-def _renumber(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Dense line numbers by (line_no, _sub), counted in blocks of the old numbers."""
-    blocks = rows.select(
-        FILE, F.col(NO).alias("_no"), "_sub", LINE, row_block(NO, block_rows).alias("_block")
-    )
-    return ordinal(blocks, [FILE], "_block", ["_no", "_sub"], NO).select(FILE, NO, LINE)
+def _renumber(
+    kept: DataFrame, others: DataFrame, plain: DataFrame, block_rows: int
+) -> DataFrame:
+    """Dense line numbers by (line_no, _sub), counted in blocks of the old numbers.
+
+    `plain` are the lines behind `kept`, row for row: they are counted without working out
+    their sections a second time.
+    """
+    block = row_block(NO, block_rows).alias("_block")
+    rows = kept.unionByName(others).select(FILE, F.col(NO).alias("_no"), "_sub", LINE, block)
+    counted = plain.select(FILE, NO).unionByName(others.select(FILE, NO))
+    sizes = counted.select(FILE, block, F.lit(1).cast("bigint").alias("_total"))
+    placed = ordinal(rows, [FILE], "_block", ["_no", "_sub"], NO, sizes=sizes)
+    return placed.select(FILE, NO, LINE)
 
 
 def _pairs(settings: Mapping[str, str | None] | Sequence[tuple[str, str | None]]):
@@ -182,12 +190,12 @@ def config_set(
     replaced = F.when(
         wanted & in_section, F.concat(F.col("key"), F.lit(" = "), _value_map(pairs)[F.col("key")])
     ).otherwise(F.col(LINE))
-    kept = parsed.where(~commented_definition(keys)).select(
-        FILE, NO, F.lit(0).alias("_sub"), replaced.alias(LINE)
-    )
+    stays = ~commented_definition(keys)
+    kept = parsed.where(stays).select(FILE, NO, F.lit(0).alias("_sub"), replaced.alias(LINE))
     sections = _sections(parsed, wanted, F.lit(False))
     match = F.btrim(F.col("_header"), F.lit("[]")) == name
-    summary = _file_summary(sections, match, files)
+    # One small row per file, stored: the lines are read once for it and once for the result.
+    summary = cut_lineage(_file_summary(sections, match, files))
     header = F.when(
         F.col("_first").isNull(),
         F.array(
@@ -205,7 +213,7 @@ def config_set(
             F.concat(header, _setting_lines(pairs, F.col("_present"), 2))
         ).alias("_new"),
     ).select(FILE, NO, "_new._sub", f"_new.{LINE}")
-    return _renumber(kept.unionByName(added), block_rows)
+    return _renumber(kept, added, lines.where(stays), block_rows)
 
 
 def config_apply_defaults(
@@ -267,12 +275,11 @@ def config_apply_defaults(
     added = report.withColumn("_new", F.explode("_absent")).select(
         FILE, NO, sub.alias("_sub"), f"_new.{LINE}"
     )
-    merged = (
-        plain.unionByName(twins.select(FILE, NO, F.lit(0).alias("_sub"), LINE))
-        .unionByName(header)
-        .unionByName(added)
+    others = (
+        twins.select(FILE, NO, F.lit(0).alias("_sub"), LINE).unionByName(header).unionByName(added)
     )
-    return _renumber(merged, block_rows), report.select(FILE, "changed")
+    changed = report.select(FILE, "changed")
+    return _renumber(plain, others, lines.where(~twin), block_rows), changed
 
 
 def config_render(

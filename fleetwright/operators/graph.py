@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.functions.blocks import ordinal, row_block
+from fleetwright.functions.blocks import TABLE_BLOCK_ROWS, ordinal, row_block
 from fleetwright.session import cut_lineage
 
 # Levels gathered before they are written out together.
@@ -161,7 +161,7 @@ def dependency_order(
             F.coalesce("node", "module").alias("module"), "level"
         )
     ordered = placed.join(nodes, "module").withColumn(
-        "_block", F.col("level") * F.lit(1 << 44) + row_block("seq")
+        "_block", F.col("level") * F.lit(1 << 40) + row_block("seq", TABLE_BLOCK_ROWS)
     )
     return ordinal(ordered, [], "_block", ["level", "seq"], "ord").select("module", "level", "ord")
 

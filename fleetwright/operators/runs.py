@@ -78,7 +78,8 @@ def run_verdict(
     stamp is written (unless fatal).
 
     The failed modules come sorted, as comma lists of `chunk` names each; a run with more
-    has further rows with chunk_no 1, 2, ... and the same verdict.
+    has further rows with chunk_no 1, 2, ... and the same verdict. `outcomes` is read three
+    times and should be stored if it is costly.
     """
     verdicts = (
         outcomes.groupBy(run)
@@ -179,17 +180,15 @@ def request_state(
 
 def _up_spans(states: DataFrame, target: str, ts: str, block_seconds: int) -> DataFrame:
     """Longest stretches of being up, as (target, a, b) in microseconds; b null while open."""
-    blocks = states.select(target, ts, "up", time_block(ts, block_seconds).alias("_block"))
-    before = carry(
-        blocks, [target], "_block", [ts], F.struct("up"), "_before", inclusive=False
-    )
-    turns = before.where(~F.col("up").eqNullSafe(F.col("_before.up"))).drop("_before")
-    after = carry(
-        turns, [target], "_block", [ts], F.struct(ts), "_after", inclusive=False, backward=True
-    )
-    return after.where("up").select(
-        target, micros(ts).alias("a"), micros(F.col(f"_after.{ts}")).alias("b")
+    seen = states.select(
+        target, "up", micros(ts).alias("a"), time_block(ts, block_seconds).alias("_block")
     )
+    args = ([target], "_block", ["a"])
+    before = carry(seen, *args, F.struct("up"), "_before", inclusive=False)
+    down = F.when(~F.col("up"), F.col("a"))
+    both = carry(before, *args, down, "b", inclusive=False, backward=True, edges=seen)
+    begins = F.col("up") & ~F.coalesce(F.col("_before.up"), F.lit(False))
+    return both.where(begins).select(target, "a", "b")
 
 
 def wait_until_ready(
@@ -222,26 +221,32 @@ def wait_until_ready(
         F.col("_kind") == 1
     )
     now_up = F.coalesce(F.col("_up"), F.lit(False))
-    ready_now = at_start.where(now_up).select(waiter, F.lit(0).cast("bigint").alias("k"), "t0")
-    waiting = at_start.where(~now_up).select(
-        waiter, target, "t0", F.floor(F.col("t0") / F.lit(horizon)).cast("bigint").alias("_slot")
+    waiting = at_start.select(
+        waiter,
+        target,
+        "t0",
+        now_up.alias("_now"),
+        F.when(~now_up, F.floor(F.col("t0") / F.lit(horizon))).cast("bigint").alias("_slot"),
     )
-    spans = _up_spans(states, target, ts, block_seconds)
     slot = F.floor(F.col("a") / F.lit(horizon)).cast("bigint")
-    near = spans.withColumn("_slot", F.explode(F.array(slot, slot - 1)))
-    k = F.ceil((F.col("a") - F.col("t0")) / F.lit(step)).cast("bigint")
-    hits = (
-        waiting.join(near, [target, "_slot"])
-        .where((F.col("a") > F.col("t0")) & (F.col("a") <= F.col("t0") + F.lit(horizon - step)))
-        .withColumn("k", k)
-        .where(F.col("b").isNull() | (F.col("t0") + F.col("k") * F.lit(step) < F.col("b")))
-        .groupBy(waiter)
-        .agg(F.min("k").alias("k"))
+    near = (
+        _up_spans(states, target, ts, block_seconds)
+        .withColumn("_at_slot", F.explode(F.array(slot, slot - 1)))
+        .withColumnRenamed(target, "_at")
     )
-    later = waiting.select(waiter, "t0").join(hits, waiter, "left").select(waiter, "k", "t0")
+    k = F.ceil((F.col("a") - F.col("t0")) / F.lit(step)).cast("bigint")
+    meets = (
+        (F.col(target) == F.col("_at"))
+        & (F.col("_slot") == F.col("_at_slot"))
+        & (F.col("a") > F.col("t0"))
+        & (F.col("a") <= F.col("t0") + F.lit(horizon - step))
+        & (F.col("b").isNull() | (F.col("t0") + k * F.lit(step) < F.col("b")))
+    )
+    first = F.when(F.first("_now"), F.lit(0)).otherwise(F.min(k)).cast("bigint")
+    found = waiting.join(near, meets, "left").groupBy(waiter, "t0").agg(first.alias("k"))
     ready = F.col("k").isNotNull()
     moment = F.timestamp_micros(F.col("t0") + F.col("k") * F.lit(step))
-    return ready_now.unionByName(later).select(
+    return found.select(
         waiter,
         F.when(ready, F.col("k") + 1).otherwise(F.lit(max_checks)).cast("bigint").alias("attempts"),
         F.when(ready, moment).cast(waiters.schema[ts].dataType).alias("ready_ts"),

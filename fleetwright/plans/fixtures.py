@@ -6,6 +6,8 @@ may be very large; on Spark they are built with `functions.blocks` instead of on
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,16 +205,16 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input over the tables of `sf_dir`."""
     if name == "FX_CONFIG_LINES":
         return _config_lines(spark, sf_dir)
-    for table in TABLES:
-        load(spark, sf_dir, table).createOrReplaceTempView(table)
-    return spark.sql(SQL[name])
+    return run_sql(spark, sf_dir, SQL[name])
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     """Run a query over the tables and the named inputs."""
+    full = oracle(text, *names)
     for table in TABLES:
-        load(spark, sf_dir, table).createOrReplaceTempView(table)
-    return spark.sql(oracle(text, *names))
+        if re.search(rf"\b(FROM|JOIN) {table}\b", full):
+            load(spark, sf_dir, table).createOrReplaceTempView(table)
+    return spark.sql(full)
 
 
 def oracle(text: str, *names: str) -> str:

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwright.functions.blocks import row_block
+from fleetwright.functions.blocks import TABLE_BLOCK_ROWS, row_block
 from fleetwright.functions.text import record_fingerprint, render_template, truthy_flag
 from fleetwright.operators import admin, archives, catalog, config, graph, runs, trees, web
 from fleetwright.plans.fixtures import fixture, load, run_sql
 from fleetwright.plans.oracle import CONNECTIONS, DUMP_FILES
-from fleetwright.session import new_scratch_path
+from fleetwright.session import cut_lineage, new_scratch_path
 from fleetwright.sources import files as sources
 from fleetwright.sources import snapshot
 from fleetwright.sources.logtail import LogTailSource
@@ -45,6 +45,7 @@ def scan_module_manifests(spark: SparkSession, sf: str) -> DataFrame:
             F.format_string("{'depends': [%s]}", F.coalesce("deps", F.lit(""))).alias("value"),
             F.concat(F.lit("m"), "module").alias("name"),
         )
+        .repartition(spark.sparkContext.defaultParallelism * 4, "name")
         .write.partitionBy("name")
         .text(root)
     )
@@ -390,7 +391,7 @@ def locale_codes(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ordered_list_agg(spark: SparkSession, sf: str) -> DataFrame:
     modules = fixture(spark, sf, "FX_CATALOG")
-    block = F.col("path_rank").cast("bigint") * F.lit(1 << 44) + row_block("seq")
+    block = F.col("path_rank").cast("bigint") * F.lit(1 << 40) + row_block("seq", TABLE_BLOCK_ROWS)
     return catalog.ordered_list_agg(modules, "name", ["path_rank", "seq"], block)
 
 
@@ -409,7 +410,7 @@ def retry_outcome(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def run_verdict(spark: SparkSession, sf: str) -> DataFrame:
     outcomes = runs.retry_outcome(fixture(spark, sf, "FX_ATTEMPTS"))
-    return runs.run_verdict(outcomes)
+    return runs.run_verdict(cut_lineage(outcomes))
 
 
 @query

@@ -67,28 +67,31 @@ def manifest_edges(modules: DataFrame) -> DataFrame:
     return modules.select(F.col("name").alias("module"), F.explode("depends").alias("dep"))
 
 
-def read_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
-    """Lines of text files with their place: file_id, split_start, line_no and line.
+def _raw_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
+    """Lines of text files as the text source reads them: `_seen` orders the lines of a split.
 
     Files are cut into splits by Spark's own text source, so one large file is read by many
-    tasks. Lines are counted inside each split and the counts added up over the splits.
+    tasks.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if line_sep is not None:
         reader = reader.option("lineSep", line_sep)
-    raw = reader.text(path).select(
+    return reader.text(path).select(
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.col("_metadata.file_size").alias("file_size"),
         F.monotonically_increasing_id().alias("_seen"),
         F.col("value").alias("line"),
     )
-    return ordinal(raw, ["file_id"], "split_start", ["_seen"], "line_no")
 
 
 def scan_config_files(spark: SparkSession, path: str) -> DataFrame:
-    """Config files as numbered lines (file_id, line_no, line)."""
-    return read_lines(spark, path).select("file_id", "line_no", "line")
+    """Config files as numbered lines (file_id, line_no, line).
+
+    Lines are counted inside each split of a file and the counts added up over the splits.
+    """
+    numbered = ordinal(_raw_lines(spark, path), ["file_id"], "split_start", ["_seen"], "line_no")
+    return numbered.select("file_id", "line_no", "line")
 
 
 def config_file_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -102,11 +105,10 @@ def scan_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A last line without line end is still being written and is left out.
     """
-    lines = read_lines(spark, path, "\n").withColumn(
-        "_bytes", F.octet_length("line").cast("bigint") + 1
-    )
+    size = F.octet_length("line").cast("bigint") + 1
+    lines = _raw_lines(spark, path, "\n").withColumn("_bytes", size)
     placed = running_total(
-        lines, ["file_id"], "split_start", ["line_no"], F.col("_bytes"), "byte_start"
+        lines, ["file_id"], "split_start", ["_seen"], F.col("_bytes"), "byte_start"
     )
     return placed.where(F.col("byte_start") + F.col("_bytes") <= F.col("file_size")).select(
         F.col("file_id").alias("file"), "byte_start", "line"

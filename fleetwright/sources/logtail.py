@@ -24,9 +24,11 @@ _SCHEMA = StructType(
 )
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int, first: int):
-        self.path, self.start, self.end, self.first = path, start, end, first
+class _Ranges(InputPartition):
+    """Byte ranges read by one task: (path, start, end, first byte of this batch)."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, int]]):
+        self.ranges = ranges
 
 
 def _complete_end(path: str, floor: int, step: int = 65_536) -> int:
@@ -63,27 +65,34 @@ class LogTailReader(DataSourceStreamReader):
         return dict(self.known)
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        ranges = []
+        """Large additions are cut, small ones share a task, up to `rangeBytes` each."""
+        tasks, size = [[]], 0
         for path, stop in sorted(end.items()):
             begin = max(start.get(path, 0), self.from_byte)
             for at in range(begin, stop, self.range_bytes):
-                ranges.append(_Range(path, at, min(at + self.range_bytes, stop), begin))
-        return ranges
-
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        with open(partition.path, "rb") as log:
-            at = partition.start
-            if at > partition.first:
-                # The line that runs into this range belongs to the range before it.
-                log.seek(at - 1)
-                at += len(log.readline()) - 1
-            log.seek(at)
-            while at < partition.end:
-                raw = log.readline()
-                if not raw.endswith(b"\n"):
-                    break
-                yield (partition.path, at, raw[:-1].decode("utf-8", "replace"))
-                at += len(raw)
+                upto = min(at + self.range_bytes, stop)
+                if tasks[-1] and size + upto - at > self.range_bytes:
+                    tasks.append([])
+                    size = 0
+                tasks[-1].append((path, at, upto, begin))
+                size += upto - at
+        return [_Ranges(t) for t in tasks if t]
+
+    def read(self, partition: _Ranges) -> Iterator[tuple]:
+        for path, start, end, first in partition.ranges:
+            with open(path, "rb") as log:
+                at = start
+                if at > first:
+                    # The line that runs into this range belongs to the range before it.
+                    log.seek(at - 1)
+                    at += len(log.readline()) - 1
+                log.seek(at)
+                while at < end:
+                    raw = log.readline()
+                    if not raw.endswith(b"\n"):
+                        break
+                    yield (path, at, raw[:-1].decode("utf-8", "replace"))
+                    at += len(raw)
 
 
 class LogTailSource(DataSource):

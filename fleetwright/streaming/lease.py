@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from fleetwright.functions.blocks import carry, micros, time_block
+from fleetwright.functions.blocks import micros, time_block
 
 # Fixed value: lifetime of a lease in seconds.
 LEASE_SECONDS = 3_600
@@ -34,6 +34,11 @@ def _with_times(df: DataFrame, ts_type) -> DataFrame:
     )
 
 
+def _frees(before: str, t: Column, ttl: int) -> Column:
+    """Is the lock surely free at `t`, given the operation before?"""
+    return (F.col(f"{before}.op") == "release") | (t - F.col(f"{before}.t") >= ttl)
+
+
 def _walk(t: np.ndarray, acquire: np.ndarray, exp: int | None, ttl: int):
     """Grants and the expiry after each operation of one lock, in order.
 
@@ -73,10 +78,11 @@ def lease_state(
     """Batch form: every operation with `granted` and the expiry of the lease live after it.
 
     A lock is surely free after a release and after a gap of one lifetime, so its operations
-    fall into stretches that do not depend on each other; their starts are found in blocks of
-    time. Within a stretch the first acquire is granted and everything in its lifetime is
-    refused. Only operations beyond that need a walk from grant to grant; it reads them sorted
-    as a stream, one number of state per stretch.
+    fall into stretches that do not depend on each other. Their starts are found in blocks of
+    time: inside a block by comparing neighbours, across blocks from one row per block. Within
+    a stretch the first acquire is granted and everything in its lifetime is refused. Only
+    operations beyond that need a walk from grant to grant; it reads them sorted as a stream,
+    one number of state per stretch.
     """
     ttl = ttl_seconds * 1_000_000
     rows = ops.select(
@@ -86,17 +92,36 @@ def lease_state(
         micros("ts").alias("t"),
         time_block("ts", block_seconds).alias("_block"),
     )
-    order = ["t", "event_id"]
-    seen = carry(
-        rows, ["lock_name"], "_block", order, F.struct("t", "op"), "_before", inclusive=False
+    row = F.struct("t", "event_id", "op")
+    inside = Window.partitionBy("lock_name", "_block").orderBy("t", "event_id")
+    marked = rows.withColumn("_before", F.lag(row).over(inside)).withColumn(
+        "_inner", F.when(F.col("_before").isNotNull() & _frees("_before", F.col("t"), ttl), row)
+    )
+    # Everything about the borders between blocks is settled on the small side.
+    earlier = (
+        Window.partitionBy("lock_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    borders = (
+        marked.groupBy("lock_name", "_block")
+        .agg(F.min(row).alias("_first"), F.max(row).alias("_last"), F.max("_inner").alias("_inner"))
+        .withColumn("_before", F.last("_last").over(earlier))
+        .withColumn(
+            "_opens", F.col("_before").isNull() | _frees("_before", F.col("_first.t"), ttl)
+        )
+        .withColumn("_latest", F.coalesce("_inner", F.when(F.col("_opens"), F.col("_first"))))
+        .withColumn("_held", F.last("_latest", ignorenulls=True).over(earlier))
+        .select(
+            "lock_name",
+            "_block",
+            F.when(F.col("_opens"), F.col("_first")).otherwise(F.col("_held")).alias("_held"),
+        )
     )
-    fresh = (
-        F.col("_before").isNull()
-        | (F.col("_before.op") == "release")
-        | (F.col("t") - F.col("_before.t") >= ttl)
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (
+        marked.withColumn("_start", F.last("_inner", ignorenulls=True).over(running))
+        .join(borders, ["lock_name", "_block"])
+        .withColumn("_start", F.coalesce("_start", "_held"))
     )
-    start = F.when(fresh, F.struct("t", "event_id", "op"))
-    placed = carry(seen, ["lock_name"], "_block", order, start, "_start").drop("_before", "_block")
     first = F.col("_start.event_id") == F.col("event_id")
     due = F.col("_start.t") + F.lit(ttl)
     is_release = F.col("op") == "release"
