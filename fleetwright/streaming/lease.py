@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetwright.functions.blocks import micros, time_block
+from fleetwright.session import cut_lineage
 
 # Fixed value: lifetime of a lease in seconds.
 LEASE_SECONDS = 3_600
@@ -80,12 +81,11 @@ def lease_state(
     A lock is surely free after a release and after a gap of one lifetime, so its operations
     fall into stretches that do not depend on each other. Their starts are found in blocks of
     time: inside a block by comparing neighbours, across blocks from one row per block. Within
-    a stretch the first acquire is granted and everything in its lifetime is refused. Only
-    operations beyond that need a walk from grant to grant; it reads them sorted as a stream,
-    one number of state per stretch.
+    a stretch the first acquire is granted and everything in its lifetime is refused; what
+    comes later is left to `_late_operations`.
     """
     ttl = ttl_seconds * 1_000_000
-    rows = ops.select(
+    rows = ops.where(F.col("lock_name").isNotNull()).select(
         "lock_name",
         "event_id",
         "op",
@@ -133,39 +133,128 @@ def lease_state(
         (first & ~is_release).alias("granted"),
         F.when(~is_release, due).alias("expires"),
     )
-    late = placed.where((F.col("t") >= due) & ~is_release).select(
-        "lock_name", F.col("_start.t").alias("t0"), F.col("_start.event_id").alias("e0"),
-        "event_id", "op", "t",
+    late = cut_lineage(
+        placed.where((F.col("t") >= due) & ~is_release).select(
+            "lock_name",
+            F.col("_start.t").alias("t0"),
+            F.col("_start.event_id").alias("e0"),
+            "event_id",
+            "op",
+            "t",
+            (F.floor((F.col("t") - F.col("_start.t")) / F.lit(ttl)) - 1).cast("bigint").alias("slot"),
+        )
+    )
+    result = settled
+    if not late.isEmpty():
+        result = settled.unionByName(_late_operations(late, ttl))
+    return _with_times(result, ops.schema["ts"].dataType)
+
+
+_STRETCH = ["lock_name", "t0", "e0"]
+
+# Levels handed down in one job.
+_GATHER = 5
+
+
+def _nearest(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Add `_hit`: for rows with `_side` 0 the closest `_target` at or after their `_at`."""
+    nearest = (
+        Window.partitionBy(*group)
+        .orderBy(F.col("_at").desc(), F.col("_side").desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    walked = (
-        late.repartition("lock_name", "t0", "e0")
-        .sortWithinPartitions("lock_name", "t0", "e0", "t", "event_id")
-        .mapInPandas(_late_walker(ttl), _OUT)
+    return rows.withColumn("_hit", F.last("_target", ignorenulls=True).over(nearest))
+
+
+def _merge_chunks(jumps: DataFrame, level: int, ttl: int) -> DataFrame:
+    """Jumps through twice as long chunks: leave the left chunk, go on in the right one.
+
+    A jump says: if the lease is granted at (t, ev), the last grant inside the chunk is at
+    `exit`. Kept are the jumps that can be the first in the longer chunk: those of the left one
+    and, behind a single slot, the first of the right one.
+    """
+    group = [*_STRETCH, "_pair"]
+    side = (F.col("chunk") % 2).cast("int")
+    rows = jumps.withColumns(
+        {
+            "_pair": F.floor(F.col("chunk") / 2).cast("bigint"),
+            "_side": side,
+            "_at": F.when(side == 0, F.col("exit") + F.lit(ttl)).otherwise(F.col("t")),
+            "_target": F.when(side == 1, F.struct("exit")),
+        }
+    )
+    rows = _nearest(rows, group)
+    keep = F.col("_side") == 0
+    if level == 0:
+        right = F.min(F.when(F.col("_side") == 1, F.col("t"))).over(Window.partitionBy(*group))
+        rows = rows.withColumn("_right", right)
+        keep = keep | (F.col("t") == F.col("_right"))
+    far = F.when(F.col("_side") == 0, F.col("_hit.exit"))
+    return rows.where(keep).select(
+        *_STRETCH, F.col("_pair").alias("chunk"), "t", "ev", F.coalesce(far, "exit").alias("exit")
+    )
+
+
+def _look_up(entries: DataFrame, jumps: DataFrame) -> DataFrame:
+    """Add `_hit` to each entry (stretch, chunk, e): the first jump of its chunk at or after e."""
+    targets = jumps.select(
+        *_STRETCH,
+        "chunk",
+        F.col("t").alias("_at"),
+        F.lit(1).alias("_side"),
+        F.struct("t", "ev", "exit").alias("_target"),
+    )
+    asked = entries.withColumn("_at", F.col("e")).withColumn("_side", F.lit(0))
+    rows = asked.unionByName(targets, allowMissingColumns=True)
+    found = _nearest(rows, [*_STRETCH, "chunk"]).where(F.col("_side") == 0)
+    return found.select(*_STRETCH, "chunk", "e", "last", "_hit")
+
+
+def _late_operations(late: DataFrame, ttl: int) -> DataFrame:
+    """Operations later than one lifetime into their stretch, each with its outcome.
+
+    Time is cut into slots of one lifetime; a slot holds one grant at most. Which one depends
+    on the slot before, so the slots are joined to chunks of 2, 4, 8, ... slots on the way up,
+    each level half as large as the one before, and the expiry at the begin of every chunk is
+    handed down again. A lock that is asked for without end is thereby spread over as many
+    tasks as it has slots.
+    """
+    levels = [
+        late.groupBy(*_STRETCH, F.col("slot").alias("chunk"), "t")
+        .agg(F.min("event_id").alias("ev"))
+        .withColumn("exit", F.col("t"))
+    ]
+    ends = late.groupBy(*_STRETCH).agg(F.max("slot").alias("last"))
+    slots = ends.agg(F.max("last")).first()[0] + 1
+    while 2 ** (len(levels) - 1) < slots:
+        levels.append(cut_lineage(_merge_chunks(levels[-1], len(levels) - 1, ttl)))
+    first = (F.col("t0") + F.lit(ttl)).alias("e")
+    entries = ends.select(*_STRETCH, F.lit(0).cast("bigint").alias("chunk"), first, "last")
+    for level in range(len(levels) - 2, -1, -1):
+        asked = _look_up(
+            entries.withColumn("chunk", F.col("chunk") * 2),
+            levels[level].where(F.col("chunk") % 2 == 0),
+        )
+        left = F.struct("chunk", "e")
+        passed = F.coalesce(F.col("_hit.exit") + F.lit(ttl), F.col("e"))
+        right = F.struct((F.col("chunk") + 1).alias("chunk"), passed.alias("e"))
+        exists = (F.col("chunk") + 1) * F.lit(2**level) <= F.col("last")
+        halves = F.when(exists, F.array(left, right)).otherwise(F.array(left))
+        entries = asked.select(*_STRETCH, F.inline(halves), "last")
+        if level and level % _GATHER == 0:
+            entries = cut_lineage(entries)
+    grants = _look_up(entries, levels[0]).withColumnRenamed("chunk", "slot")
+    here = F.struct(F.col("t"), F.col("event_id").alias("ev"))
+    grant = F.struct(F.col("_hit.t").alias("t"), F.col("_hit.ev").alias("ev"))
+    waits = F.col("_hit").isNull() | (here < grant)
+    return late.join(grants, [*_STRETCH, "slot"]).select(
+        "lock_name",
+        "event_id",
+        "op",
+        "t",
+        (F.col("_hit").isNotNull() & (here == grant)).alias("granted"),
+        F.when(waits, F.col("e")).otherwise(F.col("_hit.t") + F.lit(ttl)).alias("expires"),
     )
-    return _with_times(settled.unionByName(walked), ops.schema["ts"].dataType)
-
-
-def _late_walker(ttl: int):
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stretch, live = None, 0
-        for pdf in batches:
-            keys = pdf["lock_name"].astype(str) + "\x1f" + pdf["t0"].astype(str)
-            keys = (keys + "\x1f" + pdf["e0"].astype(str)).to_numpy()
-            t = pdf["t"].to_numpy(dtype=np.int64)
-            edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            granted = np.zeros(len(t), dtype=bool)
-            expires = np.empty(len(t), dtype=np.int64)
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if keys[a] != stretch:
-                    stretch, live = keys[a], int(pdf["t0"].iat[a]) + ttl
-                part = _walk(t[a:b], np.ones(b - a, dtype=bool), live, ttl)
-                granted[a:b], expires[a:b], live = part
-            out = pdf[["lock_name", "event_id", "op", "t"]].copy()
-            out["granted"] = granted
-            out["expires"] = expires
-            yield out
-
-    return walk
 
 
 class LeaseProcessor(StatefulProcessor):
@@ -203,7 +292,11 @@ class LeaseProcessor(StatefulProcessor):
 
 def lease_state_stream(ops: DataFrame, ttl_seconds: int = LEASE_SECONDS) -> DataFrame:
     """Streaming form of `lease_state` (also runs on a batch table)."""
-    rows = ops.select("lock_name", "event_id", "op", micros("ts").alias("t"))
+    # Asking for the query manager brings up the state store also where no stream ran before.
+    _ = ops.sparkSession.streams
+    rows = ops.where(F.col("lock_name").isNotNull()).select(
+        "lock_name", "event_id", "op", micros("ts").alias("t")
+    )
     walked = rows.groupBy("lock_name").transformWithStateInPandas(
         LeaseProcessor(ttl_seconds), outputStructType=_OUT, outputMode="Append", timeMode="None"
     )
