@@ -14,6 +14,7 @@ from fleetwright.plans.fixtures import fixture, load, run_sql
 from fleetwright.plans.oracle import CONNECTIONS, DUMP_FILES
 from fleetwright.session import cut_lineage, new_scratch_path
 from fleetwright.sources import files as sources
+from fleetwright.sources import lines as line_sources
 from fleetwright.sources import snapshot
 from fleetwright.sources.logtail import LogTailSource
 from fleetwright.streaming import lease, requests
@@ -37,22 +38,31 @@ def scan_module_manifests(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list("dep")), lambda d: F.concat(F.lit("'m"), d, F.lit("'"))), ", ").alias("deps")
     )
     root = new_scratch_path(spark, "manifests")
-    (
+    manifests = (
         load(spark, sf, "part")
         .select(F.col("p_partkey").alias("module"))
         .join(edges, "module", "left")
         .select(
-            F.format_string("{'depends': [%s]}", F.coalesce("deps", F.lit(""))).alias("value"),
-            F.concat(F.lit("m"), "module").alias("name"),
+            F.concat(F.lit(f"{root}/m"), "module").alias("folder"),
+            F.format_string("{'depends': [%s]}", F.coalesce("deps", F.lit(""))).alias("content"),
         )
-        .repartition(spark.sparkContext.defaultParallelism * 4, "name")
-        .write.partitionBy("name")
-        .text(root)
-    )
-    found = sources.scan_module_manifests(spark, [root], manifest="part-*")
-    return found.select(
-        F.substring_index("name", "=", -1).alias("name"), F.array_join("depends", ",").alias("depends")
     )
+    spread = manifests.repartition(spark.sparkContext.defaultParallelism * 4, "folder")
+    spread.mapInPandas(_write_manifests, "folder string").write.format("noop").mode(
+        "overwrite"
+    ).save()
+    found = sources.scan_module_manifests(spark, [root])
+    return found.select("name", F.array_join("depends", ",").alias("depends"))
+
+
+def _write_manifests(batches):
+    for pdf in batches:
+        for folder, content in pdf.itertuples(index=False, name=None):
+            store, name = sources.open_store(folder)
+            store.create_dir(name)
+            with store.open_output_stream(f"{name}/{sources.MANIFEST}") as out:
+                out.write(content.encode())
+        yield pdf[["folder"]]
 
 
 @query
@@ -73,7 +83,7 @@ def scan_config_files(spark: SparkSession, sf: str) -> DataFrame:
     def named(name: str):
         return F.regexp_extract("file_id", f"/{name}=([0-9]+)/", 1).cast("bigint")
 
-    return sources.scan_config_files(spark, root).select(
+    return line_sources.scan_config_files(spark, root).select(
         named("file_id").cast("int").alias("file_id"), named("part_no").alias("part_no"), "line_no", "line"
     )
 
@@ -114,7 +124,7 @@ def _log_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def log_tail_from_offset(spark: SparkSession, sf: str) -> DataFrame:
     lines = _log_lines(spark, sf).withColumn("_block", row_block("turn", 1_000))
-    return sources.log_tail_from_offset(
+    return line_sources.log_tail_from_offset(
         lines, 333, file="conv_id", order=["turn", "piece"]
     ).select("conv_id", "byte_start", "line")
 
@@ -138,7 +148,7 @@ def _conv_id(c: str):
 
 @query
 def log_tail_files(spark: SparkSession, sf: str) -> DataFrame:
-    found = sources.scan_log_lines(spark, _log_folder(spark, sf))
+    found = line_sources.scan_log_lines(spark, _log_folder(spark, sf))
     return found.select(_conv_id("file"), "byte_start", "line")
 
 

@@ -1,229 +1,265 @@
-"""Reading module manifests, config files and file inventories on the executors."""
+"""Manifests, dumps and whole file trees: listed and read by the executors.
+
+Spark's own file sources pass over empty files and over names that begin with `_` or `.`, which
+module trees are full of. These scans therefore list folders with the file system API of Arrow
+inside tasks. A listing is spread over tasks by top folder; contents are read by as many tasks
+as `tasks` says, never more than a few megabytes of a file at a time.
+"""
 
 from __future__ import annotations
 
 import ast
 import hashlib
-import io
+import os
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
-
-from fleetwright.functions.blocks import ordinal, running_total
 
 # Fixed value: the file that makes a folder a module.
 MANIFEST = "__manifest__.py"
-_MODULES = "path_rank int, name string, path string, depends array<string>"
 
+Batches = Iterator[pd.DataFrame]
+_LISTED = 10_000
 
-def _depends(text: bytes) -> list[str]:
-    try:
-        return [str(d) for d in ast.literal_eval(text.decode("utf-8")).get("depends") or []]
-    except Exception:
-        return []
 
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and plain path of a Spark path."""
+    uri = re.sub("^file:/(?!/)", "file:///", path)
+    uri = re.sub("^s3[an]:", "s3:", uri)
+    return fs.FileSystem.from_uri(uri if ":" in uri else os.path.abspath(uri))
 
-def scan_module_manifests(
-    spark: SparkSession, roots: Sequence[str], manifest: str = MANIFEST
-) -> DataFrame:
-    """(path_rank, name, path, depends) of each module one level below the roots, in search
-    order. Roots that are absent or hold no module give no rows; a manifest that cannot be read
-    as a literal gives no dependencies."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            folder = pdf["path"].str.rsplit("/", n=1).str[0]
-            yield pd.DataFrame(
-                {
-                    "path_rank": pdf["path_rank"],
-                    "name": folder.str.rsplit("/", n=1).str[1],
-                    "path": folder,
-                    "depends": pdf["content"].map(_depends),
-                }
-            )
+def _task_count(spark: SparkSession, tasks: int | None) -> int:
+    # A fixed number: rows to be read are few bytes each, and adaptive execution would put
+    # them all into one task.
+    return tasks or spark.sparkContext.defaultParallelism * 4
 
-    found = None
-    for rank, root in enumerate(roots):
-        try:
-            files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/{manifest}")
-        except AnalysisException:
-            continue
-        part = files.select(F.lit(rank).cast("int").alias("path_rank"), "path", "content")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], _MODULES)
-    return found.mapInPandas(parse, _MODULES)
 
+def _in_batches(rows: Iterator[tuple], columns: Sequence[str]) -> Batches:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == _LISTED:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
 
-def manifest_edges(modules: DataFrame) -> DataFrame:
-    """(module, dep) edges of scanned modules."""
-    return modules.select(F.col("name").alias("module"), F.explode("depends").alias("dep"))
 
+def _entries(path: str, recursive: bool) -> list[fs.FileInfo]:
+    store, base = open_store(path)
+    selector = fs.FileSelector(base, allow_not_found=True, recursive=recursive)
+    return sorted(store.get_file_info(selector), key=lambda e: e.base_name.encode())
 
-def _raw_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
-    """Lines of text files as the text source reads them: `_seen` orders the lines of a split.
 
-    Files are cut into splits by Spark's own text source, so one large file is read by many
-    tasks.
-    """
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if line_sep is not None:
-        reader = reader.option("lineSep", line_sep)
-    return reader.text(path).select(
-        F.col("_metadata.file_path").alias("file_id"),
-        F.col("_metadata.file_block_start").alias("split_start"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.monotonically_increasing_id().alias("_seen"),
-        F.col("value").alias("line"),
-    )
+def _walk(path: str) -> Iterator[fs.FileInfo]:
+    """Files below a folder, one folder in memory at a time."""
+    store, base = open_store(path)
+    folders = [base]
+    while folders:
+        for entry in store.get_file_info(fs.FileSelector(folders.pop(), allow_not_found=True)):
+            if entry.type == fs.FileType.Directory:
+                folders.append(entry.path)
+            elif entry.type == fs.FileType.File:
+                yield entry
+
+
+def _prefix(path: str) -> str:
+    """What to put before a plain path to get the path as Spark writes it."""
+    if ":" not in path or path.startswith("file:"):
+        return "file:"
+    uri = path.rstrip("/")
+    return uri[: len(uri) - len(open_store(path)[1].rstrip("/"))]
 
 
-def scan_config_files(spark: SparkSession, path: str) -> DataFrame:
-    """Config files as numbered lines (file_id, line_no, line).
+def _list_roots(
+    spark: SparkSession, roots: Sequence[str], expand: Callable[[Batches], Batches], schema: str
+) -> DataFrame:
+    rows = [(i, r.rstrip("/")) for i, r in enumerate(roots)]
+    return spark.createDataFrame(rows, "path_rank int, root string").mapInPandas(expand, schema)
+
 
-    Lines are counted inside each split of a file and the counts added up over the splits.
+def scan_module_manifests(
+    spark: SparkSession, roots: Sequence[str], tasks: int | None = None
+) -> DataFrame:
+    """(path_rank, seq, name, path, depends) of the modules right below the roots.
+
+    Roots keep their order in `path_rank`, the folders of a root their byte order in `seq`.
+    Absent roots and folders without a manifest give no rows; a manifest that cannot be read as
+    a literal gives no dependencies.
     """
-    numbered = ordinal(_raw_lines(spark, path), ["file_id"], "split_start", ["_seen"], "line_no")
-    return numbered.select("file_id", "line_no", "line")
+    listed = ["path_rank", "seq", "name", "path"]
 
+    def folders(batches: Batches) -> Batches:
+        def rows():
+            for pdf in batches:
+                for rank, root in pdf.itertuples(index=False, name=None):
+                    for seq, entry in enumerate(_entries(root, recursive=False)):
+                        if entry.type == fs.FileType.Directory:
+                            yield rank, seq, entry.base_name, f"{root}/{entry.base_name}"
 
-def config_file_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below the path, also those without lines (file_id)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("file_id"))
+        return _in_batches(rows(), listed)
 
+    def parse(batches: Batches) -> Batches:
+        for pdf in batches:
+            found = pdf["path"].map(lambda p: _read_manifest(f"{p}/{MANIFEST}"))
+            yield pdf.assign(depends=found)[found.notna()]
 
-def scan_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Complete log lines with their byte position (file, byte_start, line).
+    schema = "path_rank int, seq bigint, name string, path string"
+    modules = _list_roots(spark, roots, folders, schema)
+    spread = modules.repartition(_task_count(spark, tasks), "path")
+    return spread.mapInPandas(parse, f"{schema}, depends array<string>")
 
-    A last line without line end is still being written and is left out.
+
+def _read_manifest(path: str) -> list[str] | None:
+    store, name = open_store(path)
+    if store.get_file_info(name).type != fs.FileType.File:
+        return None
+    try:
+        with store.open_input_stream(name) as data:
+            literal = ast.literal_eval(data.read().decode("utf-8"))
+        return [str(d) for d in literal.get("depends") or []]
+    except Exception:
+        return []
+
+
+def manifest_edges(modules: DataFrame) -> DataFrame:
+    """(module, dep) edges of scanned modules."""
+    return modules.select(F.col("name").alias("module"), F.explode("depends").alias("dep"))
+
+
+def list_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """(grp, file_key, path, size, mtime) of every file below the root.
+
+    The group is the first folder below the root, empty for files right there; the key is the
+    rest of the path.
     """
-    size = F.octet_length("line").cast("bigint") + 1
-    lines = _raw_lines(spark, path, "\n").withColumn("_bytes", size)
-    placed = running_total(
-        lines, ["file_id"], "split_start", ["_seen"], F.col("_bytes"), "byte_start"
+    columns = ["grp", "file_key", "path", "size", "mtime"]
+    prefix = _prefix(root)
+
+    def top(batches: Batches) -> Batches:
+        def rows():
+            for pdf in batches:
+                for start in pdf["root"]:
+                    for entry in _entries(start, recursive=False):
+                        is_dir = entry.type == fs.FileType.Directory
+                        yield entry.base_name, prefix + entry.path, is_dir, entry.size, entry.mtime
+
+        return _in_batches(rows(), ["name", "path", "is_dir", "size", "mtime"])
+
+    def below(batches: Batches) -> Batches:
+        def rows():
+            for pdf in batches:
+                for name, path, is_dir, size, mtime in pdf.itertuples(index=False, name=None):
+                    if not is_dir:
+                        yield "", name, path, size, mtime
+                        continue
+                    cut = len(open_store(path)[1]) + 1
+                    for entry in _walk(path):
+                        yield name, entry.path[cut:], prefix + entry.path, entry.size, entry.mtime
+
+        return _in_batches(rows(), columns)
+
+    first = _list_roots(
+        spark, [root], top, "name string, path string, is_dir boolean, size bigint, mtime timestamp"
     )
-    return placed.where(F.col("byte_start") + F.col("_bytes") <= F.col("file_size")).select(
-        F.col("file_id").alias("file"), "byte_start", "line"
+    return first.repartition(_task_count(spark, tasks), "path").mapInPandas(
+        below, "grp string, file_key string, path string, size bigint, mtime timestamp"
     )
 
 
-def _stream_hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        digests = []
-        for path in pdf["path"]:
-            # Spark writes local paths with one slash, the file system API expects three.
-            uri = re.sub("^file:/(?!/)", "file:///", path)
-            store, name = fs.FileSystem.from_uri(uri)
-            digest = hashlib.sha256()
-            with store.open_input_stream(name) as data:
-                while block := data.read(8 << 20):
-                    digest.update(block)
-            digests.append(digest.hexdigest())
-        yield pdf.assign(content_hash=digests)
-
-
 def scan_file_inventory(
-    spark: SparkSession, root: str, hash_content: bool = True, stream_above: int = 1 << 30
+    spark: SparkSession, root: str, hash_content: bool = True, tasks: int | None = None
 ) -> DataFrame:
     """(grp, file_key, size, mtime, content_hash) of every file below the root.
 
-    The group is the first folder below the root, empty for files right there; the key is the
-    rest of the path. Without `hash_content` no content is read. Files above `stream_above` bytes
-    do not pass through a column, which holds 2 GB at most: they are hashed as a stream.
+    Contents are hashed as streams, so files may have any size. Without `hash_content` no file
+    is opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    meta = ["path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
-    if hash_content:
-        # The length filter is pushed into the source, so each file is opened once.
-        small = files.where(F.col("length") <= stream_above)
-        large = files.where(F.col("length") > stream_above).select(*meta)
-        hashed = small.select(*meta, F.sha2("content", 256).alias("content_hash")).unionByName(
-            large.mapInPandas(
-                _stream_hash, "path string, size bigint, mtime timestamp, content_hash string"
-            )
-        )
-    else:
-        hashed = files.select(*meta, F.lit(None).cast("string").alias("content_hash"))
-    below = _below(root)
-    return hashed.select(
-        F.regexp_extract(below, "^([^/]*)/", 1).alias("grp"),
-        F.regexp_replace(below, "^[^/]*/", "").alias("file_key"),
-        "size",
-        "mtime",
-        "content_hash",
-    )
+    listed = list_tree(spark, root, tasks)
+    if not hash_content:
+        empty = F.lit(None).cast("string").alias("content_hash")
+        return listed.select("grp", "file_key", "size", "mtime", empty)
 
+    def hashed(batches: Batches) -> Batches:
+        for pdf in batches:
+            yield pdf.assign(content_hash=pdf["path"].map(_stream_hash)).drop(columns="path")
 
-def _below(root: str) -> Column:
-    """Part of the path below the root."""
-    plain = root.split("://", 1)[-1].split(":", 1)[-1].rstrip("/") + "/"
-    at = F.instr(F.col("path"), plain)
-    return F.substring(F.col("path"), at + len(plain), F.length("path"))
-
+    return (
+        listed.repartition(_task_count(spark, tasks), "path")
+        .select("grp", "file_key", "path", "size", "mtime")
+        .mapInPandas(
+            hashed, "grp string, file_key string, size bigint, mtime timestamp, content_hash string"
+        )
+    )
 
-@F.pandas_udf(BooleanType())
-def _has_sql_member(content: pd.Series) -> pd.Series:
-    def look(blob: bytes) -> bool:
-        try:
-            with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-                return "dump.sql" in archive.namelist()
-        except Exception:
-            return False
 
-    return content.map(look)
+def _stream_hash(path: str) -> str:
+    store, name = open_store(path)
+    digest = hashlib.sha256()
+    with store.open_input_stream(name) as data:
+        while block := data.read(8 << 20):
+            digest.update(block)
+    return digest.hexdigest()
 
 
-def scan_dump_files(spark: SparkSession, root: str) -> DataFrame:
+def scan_dump_files(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
     """What `classify_dump_file` needs, for the dumps right below the root.
 
-    A folder is one dump and counts as having a table of contents if it holds that file.
+    A folder is one dump and counts as having a table of contents if it holds that file. Of
+    files only the first bytes are read, of zip files also their directory.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    zipped = F.endswith(F.col("path"), F.lit(".zip"))
-    seen = files.select(
-        _below(root).alias("_below"),
-        F.substring("content", 1, 4).alias("head"),
-        F.when(zipped, _has_sql_member(F.when(zipped, F.col("content")))).alias("has_sql_member"),
-    ).withColumn("path", F.substring_index("_below", "/", 1))
-    nested = F.contains(F.col("_below"), F.lit("/"))
-    return seen.groupBy("path").agg(
-        F.bool_or(nested).alias("is_dir"),
-        F.bool_or(F.col("_below") == F.concat("path", F.lit("/toc.dat"))).alias("has_toc"),
-        F.max(F.when(~nested, F.col("head"))).alias("head"),
-        F.bool_or(F.when(~nested, F.col("has_sql_member"))).alias("has_sql_member"),
+
+    def peek(batches: Batches) -> Batches:
+        for pdf in batches:
+            plain = pdf["grp"] == ""
+            seen = [_peek(p) if one else (None, None) for p, one in zip(pdf["path"], plain, strict=True)]
+            yield pd.DataFrame(
+                {
+                    "path": pdf["grp"].where(~plain, pdf["file_key"]),
+                    "is_dir": ~plain,
+                    "has_toc": ~plain & (pdf["file_key"] == "toc.dat"),
+                    "head": [head for head, _ in seen],
+                    "has_sql_member": [member for _, member in seen],
+                }
+            )
+
+    schema = "path string, is_dir boolean, has_toc boolean, head binary, has_sql_member boolean"
+    entries = list_tree(spark, root, tasks).select("grp", "file_key", "path")
+    return entries.mapInPandas(peek, schema).groupBy("path").agg(
+        F.bool_or("is_dir").alias("is_dir"),
+        F.bool_or("has_toc").alias("has_toc"),
+        F.max("head").alias("head"),
+        F.bool_or("has_sql_member").alias("has_sql_member"),
     )
 
 
-def log_tail_from_offset(
-    lines: DataFrame,
-    from_byte: int,
-    file: str = "file",
-    order: Sequence[str] = ("line_no",),
-    block: str = "_block",
-) -> DataFrame:
-    """Log text from a byte on, as lines (file, byte_start, line).
+def _peek(path: str) -> tuple[bytes, bool | None]:
+    store, name = open_store(path)
+    with store.open_input_file(name) as data:
+        head = data.read(4)
+        if not path.endswith(".zip"):
+            return head, None
+        try:
+            with zipfile.ZipFile(data) as archive:
+                return head, "dump.sql" in archive.namelist()
+        except Exception:
+            return head, False
 
-    `lines` holds complete lines in `order`; each counts with its line end. Of the line that
-    holds the byte only the rest is returned; bytes that begin inside a character read as
-    replacement characters. Positions are summed in blocks of lines.
-    """
-    sized = lines.withColumn("_bytes", F.octet_length("line").cast("bigint") + 1)
-    placed = running_total(sized, [file], block, list(order), F.col("_bytes"), "_at")
-    cut = F.greatest(F.lit(from_byte) - F.col("_at"), F.lit(0))
-    rest = F.make_valid_utf8(
-        F.substring(F.encode("line", "UTF-8"), cut.cast("int") + 1, F.col("_bytes").cast("int")).cast("string")
-    )
-    return placed.where(F.col("_at") + F.col("_bytes") > F.lit(from_byte)).select(
-        file,
-        (F.col("_at") + cut).cast("bigint").alias("byte_start"),
-        F.when(cut > 0, rest).otherwise(F.col("line")).alias("line"),
-    )
 
+def config_file_ids(spark: SparkSession, root: str) -> DataFrame:
+    """(file_id) of every file below the root, also those without lines, named as
+    `scan_config_files` names them."""
+    quoted = list_tree(spark, root).select("path")
+
+    def encode(batches: Batches) -> Batches:
+        for pdf in batches:
+            yield pd.DataFrame({"file_id": pdf["path"].map(lambda p: quote(p, safe="/:=@$,+&;!'()*~"))})
+
+    return quoted.mapInPandas(encode, "file_id string")
