@@ -87,8 +87,6 @@ def classify_dump_file(
     is no zip at all passes, as only real zips are looked into); a gzip file its magic bytes.
     """
     name = base_name(path)
-    ext = F.lit(None).cast("string")
-    base = F.lit(None).cast("string")
     directory = F.coalesce(F.col(is_dir), F.lit(False))
     ext = F.when(directory, F.lit(".dump"))
     base = F.when(directory, name)

@@ -58,6 +58,12 @@ def locale_module_filter(df: DataFrame, name: str, codes: Sequence[str]) -> Data
     return df.where(~F.contains(F.col(name), F.lit("l10n")) | F.arrays_overlap(parts, wanted))
 
 
+def country_codes(languages: str | None) -> list[str]:
+    """Country codes of one language list, for use as a setting (see `locale_codes`)."""
+    entries = (languages or DEFAULT_LANGUAGES).split(",")
+    return list(dict.fromkeys(e.split("_", 1)[1].lower() for e in entries if "_" in e))
+
+
 def locale_codes(df: DataFrame, list_id: str, languages: str) -> DataFrame:
     """Distinct country codes of each language list, numbered by first appearance.
 

@@ -326,12 +326,10 @@ def config_render(
 def validate_options(df: DataFrame, line: str = LINE) -> tuple[DataFrame, DataFrame]:
     """Split VAR=VAL lines into (good, bad).
 
-    Lines whose very first character is `#` and empty lines are skipped. All other lines are
-    trimmed and must be word characters, `=`, word characters. Bad lines are kept apart.
+    Lines whose very first character is `#` are skipped. All other lines are trimmed and must
+    be word characters, `=`, word characters; a blank line is bad. Bad lines are kept apart.
     """
-    used = df.where((F.col(line) != "") & ~F.startswith(F.col(line), F.lit("#"))).withColumn(
-        line, strip(line)
-    )
+    used = df.where(~F.startswith(F.col(line), F.lit("#"))).withColumn(line, strip(line))
     fine = F.col(line).rlike(r"(?U)^\w+=\w+$")
     parts = F.split(F.col(line), "=", 2)
     good = used.where(fine).withColumns({"var": parts[0], "val": parts[1]}).drop(line)

@@ -174,7 +174,7 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN ok THEN string_split(line, '=')[2] END AS val,
                    CASE WHEN NOT ok THEN line END AS bad
             FROM (SELECT line_no, trim(line) AS line, regexp_full_match(trim(line), '\w+=\w+') AS ok
-                  FROM fx_options WHERE NOT starts_with(line, '#') AND line <> '')""",
+                  FROM fx_options WHERE NOT starts_with(line, '#'))""",
         "FX_OPTIONS",
     )
     q["classify_request"] = oracle(

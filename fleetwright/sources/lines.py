@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwright.functions.blocks import ordinal, running_total
@@ -52,14 +52,15 @@ def scan_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def log_tail_from_offset(
     lines: DataFrame,
-    from_byte: int,
+    from_byte: int | Column,
     file: str = "file",
     order: Sequence[str] = ("line_no",),
     block: str = "_block",
 ) -> DataFrame:
     """Log text from a byte on, as lines (file, byte_start, line).
 
-    `lines` holds complete lines in `order`; each counts with its line end. Of the line that
+    The byte is one number for all files or a column of `lines`, such as a joined position per
+    file. `lines` holds complete lines in `order`; each counts with its line end. Of the line that
     holds the byte only the rest is returned; bytes that begin inside a character read as
     replacement characters. Positions are summed in blocks of lines (see `functions.blocks`).
     """
