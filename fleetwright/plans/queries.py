@@ -73,7 +73,7 @@ def scan_config_files(spark: SparkSession, sf: str) -> DataFrame:
     (
         fixture(spark, sf, "FX_CONFIG_LINES")
         .withColumn("part_no", part)
-        .repartition("file_id", "part_no")
+        .repartition(spark.sparkContext.defaultParallelism * 4, "file_id", "part_no")
         .sortWithinPartitions("file_id", "part_no", "line_no")
         .select("line", "file_id", "part_no")
         .write.partitionBy("file_id", "part_no")
@@ -133,7 +133,7 @@ def _log_folder(spark: SparkSession, sf: str) -> str:
     root = new_scratch_path(spark, "logs")
     (
         _log_lines(spark, sf)
-        .repartition("conv_id")
+        .repartition(spark.sparkContext.defaultParallelism * 4, "conv_id")
         .sortWithinPartitions("conv_id", "turn", "piece")
         .select("line", "conv_id")
         .write.partitionBy("conv_id")

@@ -1,6 +1,7 @@
 """Config tables against the rules applied line by line, and small literal cases."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,65 +26,75 @@ def texts(df, n=1):
     return out
 
 
-def is_comment_of(line, key):
-    body = line.strip()
-    return body[:1] in (";", "#") and body[:1] != "" and body[1:].strip().startswith(key) and (
-        body[1:].strip()[len(key) :].strip().startswith("=")
-    )
+COMMENTED = r"\s*[;#]\s*{}\s*="
+
+
+def sections(text):
+    """The text as [header, lines below it]; what stands above all headers has header None."""
+    parts = [[None, []]]
+    for t in text:
+        if t.strip().startswith("["):
+            parts.append([t, []])
+        else:
+            parts[-1][1].append(t)
+    return parts
+
+
+def joined(parts):
+    return [t for header, body in parts for t in ([] if header is None else [header]) + body]
+
+
+def option(t):
+    """(key, value) of an option line, else None."""
+    found = re.fullmatch(r"(?!\s*[;#])([^=]*)=(.*)", t)
+    return found and (found[1].strip(), found[2].strip())
+
+
+def without_comments(parts, keys):
+    patterns = [COMMENTED.format(re.escape(k)) for k in keys]
+    return [[h, [t for t in body if not any(re.match(p, t) for p in patterns)]] for h, body in parts]
 
 
 def set_by_hand(text, section, pairs):
+    """Expected text after setting the pairs, by rewriting a list of sections."""
+    parts = without_comments(sections(text), [k for k, _ in pairs])
+    mine = [p for p in parts if p[0] is not None and p[0].strip().strip("[]").lower() == section.lower()]
+    if not mine:
+        mine = [[f"[{section}]", []]]
+        parts.append(mine[0])
     for key, value in pairs:
-        text = [t for t in text if not is_comment_of(t, key)]
-        out, inside, starts, done = [], False, [], False
-        for t in text:
-            s = t.strip()
-            if s.startswith("["):
-                inside = s.strip("[]").lower() == section.lower()
-                if inside:
-                    starts.append(len(out))
-            elif inside and "=" in t and s[:1] not in (";", "#") and t.split("=")[0].strip() == key:
-                t, done = f"{key} = {value}", True
-            out.append(t)
-        if not starts:
-            out += [f"[{section}]", f"{key} = {value}"]
-        elif not done:
-            at = starts[0] + 1
-            while at < len(out) and not out[at].strip().startswith("["):
-                at += 1
-            out.insert(at, f"{key} = {value}")
-        text = out
-    return text
+        hit = {id(p): [i for i, t in enumerate(p[1]) if (option(t) or [None])[0] == key] for p in mine}
+        for p in mine:
+            for i in hit[id(p)]:
+                p[1][i] = f"{key} = {value}"
+        if not any(hit.values()):
+            mine[0][1].append(f"{key} = {value}")
+    return joined(parts)
 
 
 def defaults_by_hand(text, defaults):
-    before = text
-    text = [t for t in text if not any(is_comment_of(t, k) for k in defaults)]
-    out, inside, found, changed, seen = [], False, False, False, set()
-    for t in text:
-        s = t.strip()
-        if s.startswith("["):
-            inside = s.lower() == "[options]"
-            found = found or inside
-        elif inside and "=" in t and s[:1] not in (";", "#"):
-            key, value = (x.strip() for x in t.split("=", 1))
-            if key in defaults:
-                seen.add(key)
-                if value != defaults[key]:
-                    t, changed = f"{key} = {defaults[key]}", True
-        out.append(t)
-    if not found:
-        out.insert(0, "[options]")
-        inside = True
-    if inside:
-        at = next(i for i, t in enumerate(out) if t.strip().lower() == "[options]") + 1
-        while at < len(out) and not out[at].strip().startswith("["):
-            at += 1
-        for key, value in defaults.items():
-            if key not in seen:
-                out.insert(at, f"{key} = {value}")
-                at, changed = at + 1, True
-    return (out, True) if changed else (before, False)
+    """(expected text, changed) after applying the defaults, by rewriting a list of sections."""
+    parts = without_comments(sections(text), defaults)
+    mine = [p for p in parts if p[0] is not None and p[0].strip().lower() == "[options]"]
+    have = {option(t)[0]: None for p in mine for t in p[1] if option(t)}
+    wrong = 0
+    for p in mine:
+        fixed = [
+            f"{option(t)[0]} = {defaults[option(t)[0]]}"
+            if option(t) and defaults.get(option(t)[0], option(t)[1]) != option(t)[1]
+            else t
+            for t in p[1]
+        ]
+        wrong += fixed != p[1]
+        p[1] = fixed
+    absent = [f"{k} = {v}" for k, v in defaults.items() if k not in have]
+    if not mine:
+        parts[0] = ["[options]", parts[0][1] + absent]
+    elif parts[-1] is not mine[-1]:
+        absent = []
+    else:
+        mine[0][1] += absent
+    return (joined(parts), True) if wrong or absent else (text, False)
 
 
 POOL = [
