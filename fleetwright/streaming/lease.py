@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetwright.functions.blocks import micros, time_block
-from fleetwright.session import cut_lineage
+from fleetwright.session import STATE_STORE, STATE_STORE_CONF, cut_lineage
 
 # Fixed value: lifetime of a lease in seconds.
 LEASE_SECONDS = 3_600
@@ -292,8 +292,12 @@ class LeaseProcessor(StatefulProcessor):
 
 def lease_state_stream(ops: DataFrame, ttl_seconds: int = LEASE_SECONDS) -> DataFrame:
     """Streaming form of `lease_state` (also runs on a batch table)."""
-    # Asking for the query manager brings up the state store also where no stream ran before.
-    _ = ops.sparkSession.streams
+    # State of this kind needs the RocksDB store. Asking for the query manager brings the state
+    # store up also where no stream ran before.
+    spark = ops.sparkSession
+    if "RocksDB" not in spark.conf.get(STATE_STORE_CONF):
+        spark.conf.set(STATE_STORE_CONF, STATE_STORE)
+    _ = spark.streams
     rows = ops.where(F.col("lock_name").isNotNull()).select(
         "lock_name", "event_id", "op", micros("ts").alias("t")
     )
