@@ -563,7 +563,8 @@ def oracle_sql() -> dict[str, str]:
     )
 
     # state
-    q["lease_state"] = q["lease_state_stream"] = oracle(_LEASES, "FX_LEASES")
+    q["lease_state"] = oracle(_LEASES, "FX_LEASES")
+    q["lease_state_stream"] = q["lease_state_micro_batches"] = q["lease_state"]
     q["request_state"] = q["request_state_stream"] = oracle(_LATEST_REQUEST, "FX_LIFECYCLE")
     return q
 

@@ -528,12 +528,24 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def lease_state_stream(spark: SparkSession, sf: str) -> DataFrame:
+def _lease_stream(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat(F.lit("lock_"), (F.col("user_id") % 20).cast("string"))
     op = F.when(F.col("event_type") == "error", "release").otherwise("acquire")
-    ops = _event_stream(spark, sf).select("event_id", name.alias("lock_name"), "ts", op.alias("op"))
-    return _drain(spark, lease.lease_state_stream(ops), "leases")
+    return _event_stream(spark, sf).select(
+        "event_id", name.alias("lock_name"), "ts", op.alias("op")
+    )
+
+
+@query
+def lease_state_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _drain(spark, lease.lease_state_stream(_lease_stream(spark, sf)), "leases")
+
+
+@query
+def lease_state_micro_batches(spark: SparkSession, sf: str) -> DataFrame:
+    out, marks = new_scratch_path(spark, "leases"), new_scratch_path(spark, "leases-marks")
+    lease.start_lease_state(_lease_stream(spark, sf), out, marks).awaitTermination()
+    return lease.read_lease_state(spark, out)
 
 
 @query

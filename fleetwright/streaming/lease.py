@@ -11,9 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from fleetwright.functions.blocks import micros, time_block
 from fleetwright.session import STATE_STORE, STATE_STORE_CONF, cut_lineage
@@ -257,11 +257,62 @@ def _late_operations(late: DataFrame, ttl: int) -> DataFrame:
     )
 
 
+# Marks the lease that was live before a micro-batch among its operations.
+_HELD = -(2**63)
+
+
+def start_lease_state(
+    ops: DataFrame, path: str, checkpoint: str, ttl_seconds: int = LEASE_SECONDS
+) -> StreamingQuery:
+    """Stream by whole micro-batches: each is resolved by `lease_state`, so one lock may fill it.
+
+    Below `path` every micro-batch has a folder with its operations and one with the leases it
+    leaves behind; these go first in the next one. Running a micro-batch again replaces both.
+    Later micro-batches must not bring earlier operations of the same lock.
+    """
+
+    def resolve(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("lock_name", "event_id", "op", "ts")
+        if batch_id:
+            held = spark.read.parquet(f"{path}/live/batch={batch_id - 1}")
+            granted_at = F.col("expires_at") - F.make_dt_interval(secs=F.lit(ttl_seconds))
+            rows = rows.unionByName(
+                held.select(
+                    "lock_name",
+                    F.lit(_HELD).alias("event_id"),
+                    F.lit("acquire").alias("op"),
+                    granted_at.alias("ts"),
+                )
+            )
+        done = f"{path}/operations/batch={batch_id}"
+        lease_state(cut_lineage(rows), ttl_seconds).write.mode("overwrite").parquet(done)
+        last = F.max_by("expires_at", F.struct("ts", "event_id")).alias("expires_at")
+        live = spark.read.parquet(done).groupBy("lock_name").agg(last)
+        live.where(F.col("expires_at").isNotNull()).write.mode("overwrite").parquet(
+            f"{path}/live/batch={batch_id}"
+        )
+
+    return (
+        ops.writeStream.foreachBatch(resolve)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_lease_state(spark: SparkSession, path: str) -> DataFrame:
+    """The operations stored by `start_lease_state`."""
+    stored = spark.read.parquet(f"{path}/operations").where(F.col("event_id") != _HELD)
+    return stored.drop("batch")
+
+
 class LeaseProcessor(StatefulProcessor):
     """State per lock: the expiry of the live lease in microseconds.
 
-    Operations of one micro-batch are sorted here; later micro-batches must not bring earlier
-    operations of the same lock.
+    The operations of one lock and micro-batch are sorted in memory, so the source should limit
+    its micro-batches (`maxBytesPerTrigger` and the like); `start_lease_state` has no such
+    limit. Later micro-batches must not bring earlier operations of the same lock.
     """
 
     def __init__(self, ttl_seconds: int = LEASE_SECONDS):
@@ -291,7 +342,7 @@ class LeaseProcessor(StatefulProcessor):
 
 
 def lease_state_stream(ops: DataFrame, ttl_seconds: int = LEASE_SECONDS) -> DataFrame:
-    """Streaming form of `lease_state` (also runs on a batch table)."""
+    """Streaming form of `lease_state` with state per lock, for low delay."""
     # State of this kind needs the RocksDB store. Asking for the query manager brings the state
     # store up also where no stream ran before.
     spark = ops.sparkSession

@@ -4,7 +4,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from fleetwright.streaming.lease import lease_state, lease_state_stream
+from fleetwright.streaming.lease import (
+    lease_state,
+    lease_state_stream,
+    read_lease_state,
+    start_lease_state,
+)
 
 EPOCH = datetime(2024, 1, 1)
 
@@ -84,7 +89,7 @@ def test_no_two_live_leases_overlap(spark):
     assert pairs.count() == 0
 
 
-def test_stream_keeps_the_lease_between_micro_batches(spark, tmp_path):
+def test_streams_keep_the_lease_between_micro_batches(spark, tmp_path):
     ops = random_ops(6, 200, 2_000, 0.1, 2)
     ordered = sorted(ops, key=lambda o: (o[2], o[0]))
     for i in range(4):
@@ -103,3 +108,7 @@ def test_stream_keeps_the_lease_between_micro_batches(spark, tmp_path):
     query.awaitTermination()
     got = results(spark.read.parquet(str(tmp_path / "out")))
     assert got == brute_force(ops, 60)
+    whole = start_lease_state(stream, str(tmp_path / "whole"), str(tmp_path / "whole-marks"), 60)
+    whole.awaitTermination()
+    assert len(list((tmp_path / "whole" / "live").glob("batch=*"))) == 4
+    assert results(read_lease_state(spark, str(tmp_path / "whole"))) == brute_force(ops, 60)
