@@ -7,7 +7,7 @@ of all rows is thereby spread over as many tasks as it has blocks.
 
 `block` names a column that must not decrease along `order` inside a group. The caller adds it
 (`row_block`, `time_block`) and drops it when done; steps that share a block column also share
-one shuffle.
+one shuffle. Keys must not be null.
 """
 
 from __future__ import annotations

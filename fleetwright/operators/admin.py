@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetwright.functions.lookup import look_up
+
 
 def missing_requirements(
     records: DataFrame,
@@ -94,7 +96,8 @@ def delete_by_subquery(df: DataFrame, condition: Column, key: str = "id") -> Dat
     side; rows for which the condition is null stay.
     """
     doomed = df.where(condition).select(key).distinct()
-    return df.join(doomed, key, "left_anti")
+    others = [c for c in df.columns if c != key] or [key]
+    return look_up(df, doomed, [key], others, "left_anti")
 
 
 def asset_rows() -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwright.functions.blocks import BLOCK_ROWS, carry, ordinal, row_block
+from fleetwright.functions.lookup import look_up
 from fleetwright.functions.text import non_blank, strip
 from fleetwright.session import cut_lineage
 
@@ -264,7 +265,9 @@ def config_apply_defaults(
         F.concat(F.col("key"), F.lit(" = "), _value_map(pairs)[F.col("key")]),
     ).otherwise(F.col(LINE))
     plain = parsed.where(~twin).select(FILE, NO, F.lit(0).alias("_sub"), replaced.alias(LINE))
-    twins = lines.where(twin).join(report.where(~F.col("changed")), FILE, "left_semi")
+    twins = look_up(
+        lines.where(twin), report.where(~F.col("changed")), [FILE], [NO], "left_semi"
+    )
     # A new header goes above everything. Without any line above the first old header the added
     # keys go right below the new one.
     above = len(pairs) + 2

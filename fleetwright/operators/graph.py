@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwright.functions.blocks import TABLE_BLOCK_ROWS, ordinal, row_block
+from fleetwright.functions.lookup import look_up
 from fleetwright.session import cut_lineage
 
 # Levels gathered before they are written out together.
@@ -26,7 +27,8 @@ def _trim(edges: DataFrame) -> DataFrame:
     while size:
         needs = left.select(F.col("module").alias("dep")).distinct()
         needed = left.select(F.col("dep").alias("module")).distinct()
-        left = cut_lineage(left.join(needs, "dep", "left_semi").join(needed, "module", "left_semi"))
+        inner = look_up(left, needs, ["dep"], ["module"], "left_semi")
+        left = cut_lineage(look_up(inner, needed, ["module"], ["dep"], "left_semi"))
         smaller = left.count()
         if smaller == size:
             break
@@ -44,7 +46,7 @@ def _furthest(edges: DataFrame, start: str, end: str) -> DataFrame:
     moved = best
     while True:
         sent = (
-            moved.join(edges.withColumnRenamed(start, "node"), "node")
+            look_up(edges.withColumnRenamed(start, "node"), moved, ["node"], [end])
             .groupBy(F.col(end).alias("node"))
             .agg(F.max("top").alias("_sent"))
         )
@@ -113,15 +115,12 @@ def dependency_order(
     """
     nodes = modules.select(F.col(module).alias("module"), F.col(seq).alias("seq"))
     known = nodes.select("module")
-    inner = (
-        edges.select("module", "dep")
-        .where(F.col("module") != F.col("dep"))
-        .distinct()
-        .join(known, "module", "left_semi")
-        .join(known.withColumnRenamed("module", "dep"), "dep", "left_semi")
-        .select("module", "dep")
+    inner = edges.select("module", "dep").where(F.col("module") != F.col("dep")).distinct()
+    inner = look_up(inner, known, ["module"], ["dep"], "left_semi")
+    inner = look_up(
+        inner, known.withColumnRenamed("module", "dep"), ["dep"], ["module"], "left_semi"
     )
-    left = cut_lineage(inner)
+    left = cut_lineage(inner.select("module", "dep"))
     waiting = known
     members = None
     level, size = 0, left.count()
@@ -136,9 +135,9 @@ def dependency_order(
             break
         waiting = blocked
         left = cut_lineage(
-            left.join(blocked.withColumnRenamed("module", "dep"), "dep", "left_semi").select(
-                "module", "dep"
-            )
+            look_up(
+                left, blocked.withColumnRenamed("module", "dep"), ["dep"], ["module"], "left_semi"
+            ).select("module", "dep")
         )
         smaller = left.count()
         level += 1
@@ -169,6 +168,6 @@ def dependency_order(
 def _melt(df: DataFrame, parts: DataFrame, name: str) -> DataFrame:
     """Replace the nodes of `name` by their component, where they have one."""
     named = parts.withColumnRenamed("node", name)
-    return df.join(named, name, "left").withColumn(name, F.coalesce("component", name)).drop(
+    return look_up(df, named, [name], df.columns, "left").withColumn(name, F.coalesce("component", name)).drop(
         "component"
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetwright.functions.lookup import look_up
 from fleetwright.session import cut_lineage
 
 KEYS = ("grp", "file_key")
@@ -57,15 +58,15 @@ def upsert_groups(source: DataFrame, target: DataFrame) -> DataFrame:
     """The next target tree: added and changed groups come whole from the source, all other
     groups of the target stay.
 
-    Both sides are shuffled once on (group, file); the action per group joins back as one row
-    per group, so a very large group is split by the skew join.
+    Both sides are shuffled once on (group, file). The action joins back as one row per group,
+    with the files of a group dealt out, so that a very large group meets no single task.
     """
     files = _side_by_side(source, target).withColumn("status", F.expr(_STATUS))
     actions = group_change_rollup(files)
     replaced = F.col("action").isin("added", "changed")
     kept = F.when(replaced, F.col("_src")).otherwise(F.col("_tgt"))
     return (
-        files.join(actions, "grp")
+        look_up(files, actions, ["grp"], ["file_key"])
         .withColumn("_kept", kept)
         .where(F.col("_kept").isNotNull())
         .select(*KEYS, F.col("_kept.content_hash").alias("content_hash"))
@@ -81,7 +82,7 @@ def write_upsert(source: DataFrame, target: DataFrame, path: str) -> None:
     actions = group_change_rollup(snapshot_diff(source, target))
     wanted = cut_lineage(actions.where(F.col("action").isin("added", "changed")).select("grp"))
     (
-        source.join(wanted, "grp", "left_semi")
+        look_up(source, wanted, ["grp"], ["file_key"], "left_semi")
         .select("file_key", "content_hash", "grp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -112,7 +113,7 @@ def overlay_lookup(
     """
     best = layers.groupBy(path).agg(F.min(rank).alias("_rank"))
     labels = F.array(*[F.lit(n) for n in names])
-    return wanted.join(best, path, "left").select(
+    return look_up(wanted, best, [path], wanted.columns, "left").select(
         *wanted.columns,
         F.coalesce(F.get(labels, F.col("_rank")), F.lit(fallback)).alias("layer"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetwright.functions.lookup import look_up
 from fleetwright.functions.text import non_blank, or_default
 
 # Request rules in the order in which they are tried.
@@ -200,7 +201,7 @@ def related_setting_join(
     valid    an enabled row needs a key
     """
     one = sites.groupBy(site).agg(F.max(key).alias("_key"))
-    joined = configs.join(one, site, "left").withColumn("key", or_default("_key", ""))
+    joined = look_up(configs, one, [site], configs.columns, "left").withColumn("key", or_default("_key", ""))
     has = F.col("key") != ""
     enabled = F.coalesce(F.col("enabled"), F.lit(False))
     return joined.withColumns(
