@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetwright.llm import pii, warc
+from fleetwright.llm.ann import nearest
 from fleetwright.llm.common import table
 from fleetwright.llm.exact_dedup import exact_dedup
+from fleetwright.llm.html_text import extract
 from fleetwright.llm.langid import fit, held_out, identify, train_rows
 from fleetwright.llm.mixing import taken_words
 from fleetwright.llm.near_dedup import near_dedup
 from fleetwright.llm.packing import pack
+from fleetwright.llm.url_filter import judge, page_outcomes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,16 +49,45 @@ FROM d WINDOW w AS (PARTITION BY norm)
 """
 
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.summary(warc.read_archives(manifest, with_data=False)).drop("chunks")
+
+
 @query
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+@query
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).drop("path")
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = page_outcomes(pages, table(spark, sf_dir, "labels"))
+    return judge(pages, outcomes).drop("bound")
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents")).drop("shards")
 
 
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.fit(docs)).drop("n_added")
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
