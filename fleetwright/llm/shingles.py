@@ -94,7 +94,7 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     acc = np.full(n - width + 1, width, dtype=np.uint64)
     for k in range(width):
         acc = acc * BASE + words[k : n - width + 1 + k]
-    return np.unique(mix(acc))
+    return np.unique(mix(acc) >> np.uint64(1))  # fits a signed 64-bit column in the same order
 
 
 def shingle_sets(texts: Sequence[str | None], width: int) -> Iterator[np.ndarray]:
