@@ -83,7 +83,7 @@ def pack(
     mark = F.xxhash64(F.col(cluster)) if cluster else F.xxhash64(normalised("text"))
     items = store(
         docs.select(
-            "doc_id",
+            F.col("doc_id").cast("string").alias("doc_id"),  # pandas has no integers with nulls
             "source",
             mark.alias("cluster"),
             word_count("text").alias("words"),
@@ -104,6 +104,6 @@ def pack(
     dealt = rest.withColumn("grp", F.pmod(F.xxhash64("row_no"), F.lit(groups)))
     packed = dealt.groupBy("grp").applyInPandas(
         lambda group: _pack(group, capacity, per_source),
-        f"doc_id {kind}, piece bigint, start bigint, size bigint, bin_id string",
+        "doc_id string, piece bigint, start bigint, size bigint, bin_id string",
     )
-    return packed.unionByName(lone)
+    return packed.unionByName(lone).withColumn("doc_id", F.col("doc_id").cast(kind))
