@@ -107,11 +107,3 @@ def classify_dump_file(
         .otherwise(True)
     )
     return out.withColumn("valid", valid)
-
-
-def upgraded_db_name(db: Column, target: Column, aim: Column, ts: Column) -> Column:
-    """Name of the upgraded database: a backup name for production, else a test name."""
-    stamp = F.date_format(ts, "yyyy_MM_dd_HH_mm")
-    return F.when(aim == "production", F.concat_ws("_", db, F.lit("backup"), stamp)).otherwise(
-        F.concat_ws("_", db, F.lit("test"), target, stamp)
-    )

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwright.functions.blocks import carry, micros, time_block
 from fleetwright.operators.catalog import ordered_list_agg
+from fleetwright.session import cut_lineage
 
 # Rounds of module upgrades.
 MAX_ROUNDS = 3
@@ -27,7 +29,7 @@ CLOSING = ["done", "failed", "cancelled"]
 
 
 def _digits(c: Column) -> Column:
-    return F.coalesce(c.rlike("^[0-9]+$"), F.lit(False))
+    return F.coalesce(c.rlike(r"\A[0-9]+\z"), F.lit(False))
 
 
 def _number(c: Column) -> Column:
@@ -41,9 +43,10 @@ def refresh_gate(
 ) -> DataFrame:
     """Add needed and reason: does the recorded stamp call for a refresh to the build stamp?
 
-    A null record means that nothing was recorded; a blank one is an invalid record.
+    A null record means that nothing was recorded; a blank one is an invalid record. Line ends
+    after a stamp do not count.
     """
-    b, r = F.col(build), F.col(recorded)
+    b, r = (F.regexp_replace(F.col(c), r"\n+\z", "") for c in (build, recorded))
     reason = (
         F.when(F.coalesce(b, F.lit("")) == "", "build_missing")
         .when(~_digits(b), "build_invalid")
@@ -165,10 +168,16 @@ def request_state(
     ts: str = "ts",
     tie: str = "event_id",
 ) -> DataFrame:
-    """Latest state per request, since when, and whether it closes the request."""
+    """State per request, since when, and whether it closes the request.
+
+    The first closing state is the end: later rows do not reopen a request. Before one, the
+    latest state counts.
+    """
+    row = F.struct(ts, tie, "state")
+    ended = F.min(F.when(F.col("state").isin(*CLOSING), row))
     return (
         events.groupBy(request)
-        .agg(F.max(F.struct(ts, tie, "state")).alias("_last"))
+        .agg(F.coalesce(ended, F.max(row)).alias("_last"))
         .select(
             request,
             F.col("_last.state").alias("state"),
@@ -206,44 +215,44 @@ def wait_until_ready(
     Check k (from 0) happens at the start plus k times the pause. A state holds until the next
     observation; one observation per target and time. `attempts` counts checks from 1.
 
-    A waiter that starts while its target is up needs no search: that state is carried in
-    blocks of time. The others meet only the up-spans that begin inside their own waiting time:
-    both sides are keyed by target and stretch of time, never by the target alone.
+    The search goes in rounds: each open waiter looks up the first up-span that ends after its
+    next check, which is one carry in blocks of time. Either a check falls inside the span, or
+    the waiter goes on behind it. Rows grow with waiters and spans, never with their pairs, and
+    only open waiters take part in the next round.
     """
     step = sleep_seconds * 1_000_000
-    horizon = step * max(max_checks, 1)
-    start = waiters.select(waiter, target, ts, micros(ts).alias("t0"))
-    seen = states.select(target, ts, F.lit(0).alias("_kind"), "up").unionByName(
-        start.select(target, ts, F.lit(1).alias("_kind"), waiter, "t0"), allowMissingColumns=True
-    )
-    seen = seen.withColumn("_block", time_block(ts, block_seconds))
-    at_start = carry(seen, [target], "_block", [ts, "_kind"], F.col("up"), "_up").where(
-        F.col("_kind") == 1
-    )
-    now_up = F.coalesce(F.col("_up"), F.lit(False))
-    waiting = at_start.select(
-        waiter,
-        target,
-        "t0",
-        now_up.alias("_now"),
-        F.when(~now_up, F.floor(F.col("t0") / F.lit(horizon))).cast("bigint").alias("_slot"),
+    spans = _up_spans(states.where(F.col(target).isNotNull()), target, ts, block_seconds)
+    far = F.lit((1 << 63) - 1)
+    spans = cut_lineage(
+        spans.select(target, F.coalesce("b", far).alias("p"), F.struct("a", F.coalesce("b", far).alias("b")).alias("_span"))
     )
-    slot = F.floor(F.col("a") / F.lit(horizon)).cast("bigint")
-    near = (
-        _up_spans(states, target, ts, block_seconds)
-        .withColumn("_at_slot", F.explode(F.array(slot, slot - 1)))
-        .withColumnRenamed(target, "_at")
-    )
-    k = F.ceil((F.col("a") - F.col("t0")) / F.lit(step)).cast("bigint")
-    meets = (
-        (F.col(target) == F.col("_at"))
-        & (F.col("_slot") == F.col("_at_slot"))
-        & (F.col("a") > F.col("t0"))
-        & (F.col("a") <= F.col("t0") + F.lit(horizon - step))
-        & (F.col("b").isNull() | (F.col("t0") + k * F.lit(step) < F.col("b")))
-    )
-    first = F.when(F.first("_now"), F.lit(0)).otherwise(F.min(k)).cast("bigint")
-    found = waiting.join(near, meets, "left").groupBy(waiter, "t0").agg(first.alias("k"))
+    start = waiters.select(waiter, target, micros(ts).alias("t0"), F.lit(0).cast("bigint").alias("k"))
+    still, settled = start, []
+    while True:
+        asked = still.withColumn("p", F.col("t0") + F.col("k") * F.lit(step))
+        rows = spans.withColumn("_kind", F.lit(0)).unionByName(
+            asked.withColumn("_kind", F.lit(1)), allowMissingColumns=True
+        )
+        rows = rows.withColumn("_block", F.floor(F.col("p") / F.lit(block_seconds * 1_000_000)).cast("bigint"))
+        met = carry(rows, [target], "_block", ["p", "_kind"], F.col("_span"), "_next", inclusive=False, backward=True)
+        later = F.ceil((F.col("_next.a") - F.col("t0")) / F.lit(step)).cast("bigint")
+        later = F.when(F.col("_next").isNotNull(), F.greatest(later, F.col("k")))
+        met = met.where(F.col("_kind") == 1).withColumn("k", later)
+        hit = F.col("t0") + F.col("k") * F.lit(step) < F.col("_next.b")
+        met = cut_lineage(
+            met.select(
+                waiter,
+                target,
+                "t0",
+                F.when(F.col("k") < max_checks, F.col("k")).alias("k"),
+                (hit | F.col("k").isNull() | (F.col("k") >= max_checks)).alias("done"),
+            )
+        )
+        settled.append(met.where("done").select(waiter, "t0", "k"))
+        still = met.where("not done").select(waiter, target, "t0", "k")
+        if still.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, settled)
     ready = F.col("k").isNotNull()
     moment = F.timestamp_micros(F.col("t0") + F.col("k") * F.lit(step))
     return found.select(

@@ -87,8 +87,10 @@ _LEASES = """
     SELECT lock_name, event_id, op, ts, granted, expires_at FROM walk"""
 
 _LATEST_REQUEST = """
-    SELECT request_id, arg_max(state, (ts, event_id)) AS state, max(ts) AS since,
-           arg_max(state, (ts, event_id)) IN ('done', 'failed', 'cancelled') AS terminal
+    SELECT request_id, coalesce(arg_min(state, (ts, event_id)) FILTER (state IN ('done', 'failed', 'cancelled')),
+                                arg_max(state, (ts, event_id))) AS state,
+           coalesce(min(ts) FILTER (state IN ('done', 'failed', 'cancelled')), max(ts)) AS since,
+           bool_or(state IN ('done', 'failed', 'cancelled')) AS terminal
     FROM fx_lifecycle GROUP BY request_id"""
 
 _LOG_LINES = r"""

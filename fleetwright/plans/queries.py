@@ -83,7 +83,7 @@ def scan_config_files(spark: SparkSession, sf: str) -> DataFrame:
     def named(name: str):
         return F.regexp_extract("file_id", f"/{name}=([0-9]+)/", 1).cast("bigint")
 
-    return line_sources.scan_config_files(spark, root).select(
+    return line_sources.scan_config_files(spark, root, hidden=False).select(
         named("file_id").cast("int").alias("file_id"), named("part_no").alias("part_no"), "line_no", "line"
     )
 
@@ -148,7 +148,7 @@ def _conv_id(c: str):
 
 @query
 def log_tail_files(spark: SparkSession, sf: str) -> DataFrame:
-    found = line_sources.scan_log_lines(spark, _log_folder(spark, sf))
+    found = line_sources.scan_log_lines(spark, _log_folder(spark, sf), hidden=False)
     return found.select(_conv_id("file"), "byte_start", "line")
 
 

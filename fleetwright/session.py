@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,10 +34,13 @@ def get_session(app: str = "fleetwright", **conf: str) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`; a local one only where it is unset."""
+    """The shared folder named by `spark.checkpoint.dir`; a local one only where it is unset and
+    driver and executors are one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="fleetwright-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local

@@ -13,7 +13,9 @@ _MANIFEST = "_manifest"
 
 def table_checksum(df: DataFrame, table: str) -> DataFrame:
     """One row: table, rows and a hash that does not depend on row order."""
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    # The hash passes over nulls, so their places are hashed as well.
+    row_hash = F.xxhash64(*cols, *[c.isNull() for c in cols]).cast("decimal(38,0)")
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(row_hash), F.lit(0)).cast("decimal(38,0)").alias("table_hash"),

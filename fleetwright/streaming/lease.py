@@ -35,6 +35,18 @@ def _with_times(df: DataFrame, ts_type) -> DataFrame:
     )
 
 
+def _nameless(ops: DataFrame) -> DataFrame:
+    """Operations without a lock name: they come back, and are never granted."""
+    return ops.where(F.col("lock_name").isNull()).select(
+        "lock_name",
+        "event_id",
+        "op",
+        "ts",
+        F.lit(False).alias("granted"),
+        F.lit(None).cast(ops.schema["ts"].dataType).alias("expires_at"),
+    )
+
+
 def _frees(before: str, t: Column, ttl: int) -> Column:
     """Is the lock surely free at `t`, given the operation before?"""
     return (F.col(f"{before}.op") == "release") | (t - F.col(f"{before}.t") >= ttl)
@@ -147,7 +159,7 @@ def lease_state(
     result = settled
     if not late.isEmpty():
         result = settled.unionByName(_late_operations(late, ttl))
-    return _with_times(result, ops.schema["ts"].dataType)
+    return _with_times(result, ops.schema["ts"].dataType).unionByName(_nameless(ops))
 
 
 _STRETCH = ["lock_name", "t0", "e0"]
@@ -355,4 +367,4 @@ def lease_state_stream(ops: DataFrame, ttl_seconds: int = LEASE_SECONDS) -> Data
     walked = rows.groupBy("lock_name").transformWithStateInPandas(
         LeaseProcessor(ttl_seconds), outputStructType=_OUT, outputMode="Append", timeMode="None"
     )
-    return _with_times(walked, ops.schema["ts"].dataType)
+    return _with_times(walked, ops.schema["ts"].dataType).unionByName(_nameless(ops))
