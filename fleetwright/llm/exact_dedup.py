@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import BLANKS, store
+from fleetwright.llm.common import BLANKS, row_key, store
 
 # A directory has 2**MAX_DEPTH slots at most (65,536 rows of two numbers), so it may be broadcast.
 MAX_DEPTH = 16
@@ -146,10 +146,9 @@ def exact_dedup(
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    kept = exact_dedup(docs, **options).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")
-    )
-    marked = docs.withColumn("_s", F.sha2(normalised("text"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha"))
+    keys = ["_none", "_id", "_sha"]
+    kept = exact_dedup(docs, **options).where("kept").withColumns(row_key("doc_id"))
+    kept = kept.withColumnRenamed("text_sha256", "_sha").select(*keys)
+    marked = docs.withColumns({**row_key("doc_id"), "_sha": F.sha2(normalised("text"), 256)})
     # Rows that repeat doc_id and text are in one partition by now; one of them stays.
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_s"]).drop("_s")
+    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwright.functions.blocks import running_total
-from fleetwright.llm.common import store, word_count
+from fleetwright.llm.common import row_key, store, word_count
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 1 << 14
@@ -181,13 +181,14 @@ def mix(docs: DataFrame, *, seed: int = 8, **options) -> DataFrame:
     """The mixed corpus: the columns of `docs`, each row as often as it is drawn, whole; rows of
     a shard are together and shuffled."""
     _, drawn = draws(docs, seed=seed, cut=False, **options)
-    times = drawn.groupBy(F.col("doc_id").alias("_id"), F.col("place").alias("_place")).agg(
-        F.collect_list(F.struct("shard", "shuffle")).alias("_draws")
+    keys = ["_none", "_id", "_place"]
+    times = (
+        drawn.withColumns(row_key("doc_id")).withColumnRenamed("place", "_place").groupBy(*keys)
+        .agg(F.collect_list(F.struct("shard", "shuffle")).alias("_draws"))
     )
     # Rows that repeat doc_id and text are counted together and come back as often as drawn.
-    marked = docs.withColumn("_p", order_key(seed)).dropDuplicates(["doc_id", "_p"])
-    same = marked["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_place"))
-    out = marked.join(times, same).select(*docs.columns, F.explode("_draws").alias("_d"))
+    marked = docs.withColumns({**row_key("doc_id"), "_place": order_key(seed)}).dropDuplicates(keys)
+    out = marked.join(times, keys).select(*docs.columns, F.explode("_draws").alias("_d"))
     return (
         out.select(*docs.columns, "_d.shard", "_d.shuffle")
         .repartition("shard")
