@@ -263,3 +263,13 @@ def test_mentions_are_carried_on():
     model = pii.train(phones + mails)
     for text in ("no data 1234 here 1234", "licence 4.0 and 4.0"):
         assert pii.added_spans(model, text, pii.base_spans(text)) == []
+    # Where all mentions are written out, one without its prefix is taken along; a number that
+    # resembles no base span is not.
+    whole = [f"call +1 (9{i:02d}) 555-{1000 + i} now, then +1 (9{i:02d}) 555-{1000 + i} again in {i} days of 20{i:02d}" for i in range(40)]
+    model = pii.train(whole + mails)
+    text = "call +1 (905) 555-1005 now. In 2019 room 12, and (905) 555-1005 again"
+    base = pii.base_spans(text)
+    assert [(k, text[a:b]) for k, a, b in pii.added_spans(model, text, base)] == [(3, "(905) 555-1005")]
+    assert pii.listed(base) == plain_spans(text)
+    text = text.replace("(905) 555-1005 again", "(917) 555-2231 again")
+    assert pii.added_spans(model, text, pii.base_spans(text)) == []
