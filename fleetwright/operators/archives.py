@@ -83,8 +83,9 @@ def classify_dump_file(
     """Add base, ext and valid for dump files and directories.
 
     The first fitting extension counts; a directory without one is taken as `.dump`. Any
-    directory needs its table of contents. A zip file needs the member `dump.sql` (a file that
-    is no zip at all passes, as only real zips are looked into); a gzip file its magic bytes.
+    directory needs its table of contents. A zip file needs the member `dump.sql` (null stands
+    for a file that is no zip: it passes, as only real zips are looked into); a gzip file its
+    magic bytes, unless it is empty.
     """
     name = base_name(path)
     directory = F.coalesce(F.col(is_dir), F.lit(False))
@@ -96,13 +97,12 @@ def classify_dump_file(
         cut = F.substring(name, F.lit(1), F.length(name) - len(candidate))
         base = F.when(fits, cut).otherwise(base)
     magic = F.hex(F.substring(F.col(head), 1, 4))
-    real_zip = F.coalesce(F.startswith(magic, F.lit("504B")), F.lit(False))
-    real_gzip = F.coalesce(F.startswith(magic, F.lit("1F8B")), F.lit(False))
+    real_gzip = F.coalesce(F.startswith(magic, F.lit("1F8B")) | (magic == ""), F.lit(False))
     out = df.withColumns({"base": base, "ext": ext})
     valid = (
         F.when(F.col("ext").isNull(), False)
         .when(directory, F.coalesce(F.col(has_toc), F.lit(False)))
-        .when(F.col("ext") == ".zip", ~real_zip | F.coalesce(F.col(has_sql_member), F.lit(False)))
+        .when(F.col("ext") == ".zip", F.coalesce(F.col(has_sql_member), F.lit(True)))
         .when(F.col("ext") == ".sql.gz", real_gzip)
         .otherwise(True)
     )

@@ -113,17 +113,14 @@ def failed_modules(
 ) -> DataFrame:
     """The failed modules of each run as sorted comma lists of at most `chunk` names."""
     bad = outcomes.where(~F.col("ok")).select(run, module)
-    return ordered_list_agg(
-        bad, module, [module], _module_block(bad, module), by=[run], chunk=chunk, out="failed"
-    )
-
-
-def _module_block(df: DataFrame, module: str) -> Column:
-    """Order-keeping block of a module: number ranges, or the first characters of a name."""
-    if df.schema[module].dataType.typeName() == "string":
-        head = F.rpad(F.substring(F.encode(F.col(module), "UTF-8"), 1, 3), 3, F.unhex(F.lit("00")))
-        return F.conv(F.hex(head), 16, 10).cast("bigint")
-    return F.floor(F.col(module) / F.lit(65_536)).cast("bigint")
+    if bad.schema[module].dataType.typeName() == "string":
+        # Blocks are ranges of names found by sampling: many names with one prefix are split.
+        part = F.spark_partition_id().cast("bigint")
+        bad = cut_lineage(bad.repartitionByRange(run, module).withColumn("_range", part))
+        block = F.col("_range")
+    else:
+        block = F.floor(F.col(module) / F.lit(65_536)).cast("bigint")
+    return ordered_list_agg(bad, module, [module], block, by=[run], chunk=chunk, out="failed")
 
 
 def lifecycle_audit(

@@ -26,6 +26,7 @@ TABLES = [
     "pages",
     "conversations",
 ]
+SNAPSHOT_TABLES = [*TABLES, "embeddings", "benchmark", "labels"]
 
 # fmt: off
 SQL: dict[str, str] = {

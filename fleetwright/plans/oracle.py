@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetwright.plans.fixtures import oracle
+from fleetwright.plans.fixtures import SNAPSHOT_TABLES, oracle
 
 _PARSED = r"""
 stripped AS (
@@ -138,14 +138,9 @@ def oracle_sql() -> dict[str, str]:
            line FROM fx_config_lines""",
         "FX_CONFIG_LINES",
     )
-    q["export_snapshot"] = """
-        SELECT 'nation' AS table_name, count(*) AS n_rows FROM nation
-        UNION ALL SELECT 'region', count(*) FROM region
-        UNION ALL SELECT 'customer', count(*) FROM customer"""
-    q["import_snapshot"] = """
-        SELECT 'nation' AS table_name, count(*) AS n_rows, true AS verified FROM nation
-        UNION ALL SELECT 'region', count(*), true FROM region
-        UNION ALL SELECT 'customer', count(*), true FROM customer"""
+    counts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in SNAPSHOT_TABLES)
+    q["export_snapshot"] = counts
+    q["import_snapshot"] = f"SELECT *, true AS verified FROM ({counts})"
     q["log_tail_from_offset"] = _LOG_TAIL
     q["log_tail_files"] = q["log_tail_stream"] = (
         "WITH " + _LOG_LINES + " SELECT conv_id, begins AS byte_start, line FROM log_lines"
@@ -218,8 +213,8 @@ def oracle_sql() -> dict[str, str]:
            SELECT file_id, CASE WHEN ext IS NOT NULL AND suffix THEN path[1:length(path) - length(ext)]
                                 WHEN ext IS NOT NULL THEN path END AS base, ext,
                   CASE WHEN ext IS NULL THEN false WHEN is_dir THEN has_toc
-                       WHEN ext = '.zip' THEN NOT starts_with(hex(head), '504B') OR has_sql_member
-                       WHEN ext = '.sql.gz' THEN starts_with(hex(head), '1F8B') ELSE true END AS valid
+                       WHEN ext = '.zip' THEN coalesce(has_sql_member, true)
+                       WHEN ext = '.sql.gz' THEN starts_with(hex(head), '1F8B') OR hex(head) = '' ELSE true END AS valid
            FROM (SELECT *, CASE WHEN suffix THEN regexp_extract(path, '\\.(sql|dump|zip|sql\\.gz)$')
                                 WHEN is_dir THEN '.dump' END AS ext
                  FROM (SELECT *, regexp_matches(path, '\\.(sql|dump|zip|sql\\.gz)$') AS suffix FROM files))""",
@@ -397,12 +392,18 @@ def oracle_sql() -> dict[str, str]:
     q["run_verdict"] = oracle(
         "WITH "
         + _OUTCOMES
-        + """ SELECT run_id, CASE WHEN bool_and(ok) THEN 'success' WHEN NOT bool_or(ok) THEN 'fatal'
-                                  ELSE 'partial' END AS verdict,
-                     count(*) FILTER (WHERE NOT ok) AS failed_count, bool_or(ok) AS stamp,
-                     0::BIGINT AS chunk_no,
-                     coalesce(string_agg(module::VARCHAR, ',' ORDER BY module) FILTER (WHERE NOT ok), '') AS failed
-              FROM outcomes GROUP BY run_id""",
+        + """, verdicts AS (
+               SELECT run_id, CASE WHEN bool_and(ok) THEN 'success' WHEN NOT bool_or(ok) THEN 'fatal'
+                                   ELSE 'partial' END AS verdict,
+                      count(*) FILTER (WHERE NOT ok) AS failed_count, bool_or(ok) AS stamp
+               FROM outcomes GROUP BY run_id),
+             lists AS (
+               SELECT run_id, n // 10000 AS chunk_no, string_agg(module::VARCHAR, ',' ORDER BY n) AS failed
+               FROM (SELECT run_id, module, row_number() OVER (PARTITION BY run_id ORDER BY module) - 1 AS n
+                     FROM outcomes WHERE NOT ok) GROUP BY ALL)
+             SELECT run_id, verdict, failed_count, stamp, coalesce(chunk_no, 0)::BIGINT AS chunk_no,
+                    coalesce(failed, '') AS failed
+             FROM verdicts LEFT JOIN lists USING (run_id)""",
         "FX_ATTEMPTS",
     )
     q["health_rollup"] = oracle(
@@ -535,10 +536,12 @@ def oracle_sql() -> dict[str, str]:
         defaults + " SELECT file_id, changed FROM outcome", lines
     )
     q["config_render"] = oracle(
-        """SELECT file_id, 0::BIGINT AS chunk_no,
-                  concat(CASE WHEN bool_or(contains(line, '[options]')) THEN '' ELSE concat('[options]', chr(10)) END,
+        """SELECT file_id, chunk_no,
+                  concat(CASE WHEN chunk_no > 0 OR bool_or(bool_or(contains(line, '[options]'))) OVER (PARTITION BY file_id)
+                              THEN '' ELSE concat('[options]', chr(10)) END,
                          string_agg(line, chr(10) ORDER BY line_no), chr(10)) AS text
-           FROM fx_config_lines GROUP BY file_id""",
+           FROM (SELECT *, ((line_no - 1) // 100000)::BIGINT AS chunk_no FROM fx_config_lines)
+           GROUP BY file_id, chunk_no""",
         lines,
     )
 
@@ -580,8 +583,9 @@ DUMP_FILES = """
            file_id % 3 = 0 AS has_toc,
            CASE WHEN file_id % 7 IN (2, 6) AND file_id % 4 <> 0 THEN unhex('504B0304')
                 WHEN file_id % 7 = 3 AND file_id % 4 <> 0 THEN unhex('1F8B0800')
+                WHEN file_id % 7 = 3 AND file_id % 8 = 0 THEN unhex('')
                 ELSE unhex('2D2D2050') END AS head,
-           file_id % 5 <> 0 AS has_sql_member
+           CASE WHEN file_id % 7 IN (2, 6) AND file_id % 4 <> 0 THEN file_id % 5 <> 0 END AS has_sql_member
     FROM fx_archives"""
 
 # Pooler and database settings of a host, from the layers of its settings.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetwright.functions.blocks import TABLE_BLOCK_ROWS, row_block
 from fleetwright.functions.text import record_fingerprint, render_template, truthy_flag
 from fleetwright.operators import admin, archives, catalog, config, graph, runs, trees, web
-from fleetwright.plans.fixtures import fixture, load, run_sql
+from fleetwright.plans.fixtures import SNAPSHOT_TABLES, fixture, load, run_sql
 from fleetwright.plans.oracle import CONNECTIONS, DUMP_FILES
 from fleetwright.session import cut_lineage, new_scratch_path
 from fleetwright.sources import files as sources
@@ -95,7 +95,7 @@ def scan_file_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 def _exported(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     folder = new_scratch_path(spark, "snapshot")
-    tables = {t: load(spark, sf, t) for t in ("nation", "region", "customer")}
+    tables = {t: load(spark, sf, t) for t in SNAPSHOT_TABLES}
     return folder, snapshot.export_snapshot(spark, tables, folder)
 
 
@@ -111,9 +111,11 @@ def import_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     target = new_scratch_path(spark, "restored")
     name = target.rsplit("/", 1)[1].replace("-", "_")
     loaded = snapshot.import_snapshot(spark, folder, name, "refuse", location=target)
-    return loaded.select(
-        F.col("table").alias("table_name"), F.col("rows").alias("n_rows"), "verified"
+    report = cut_lineage(
+        loaded.select(F.col("table").alias("table_name"), F.col("rows").alias("n_rows"), "verified")
     )
+    spark.sql(f"DROP DATABASE `{name}` CASCADE")
+    return report
 
 
 def _log_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -246,6 +246,13 @@ def _peek(path: str) -> tuple[bytes, bool | None]:
         head = data.read(4)
         if not path.endswith(".zip"):
             return head, None
+        try:
+            # Arrow's files refuse to seek before their begin, as the search for a zip's end does.
+            real = zipfile.is_zipfile(data)
+        except ValueError:
+            real = False
+        if not real:
+            return head, None
         try:
             with zipfile.ZipFile(data) as archive:
                 return head, "dump.sql" in archive.namelist()

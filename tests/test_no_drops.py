@@ -7,6 +7,7 @@ from fleetwright.sources.files import config_file_ids
 from fleetwright.sources.lines import scan_config_files, scan_log_lines
 from fleetwright.sources.snapshot import table_checksum
 from fleetwright.streaming.lease import lease_state
+from fleetwright.operators.runs import run_verdict
 
 
 def test_hidden_files(spark, tmp_path):
@@ -63,3 +64,16 @@ def test_many_checks(spark):
     assert got == {1: (5, "ready"), 2: (1090, "timeout"), 3: (1090, "timeout")}
     got = {r["waiter_id"]: r["attempts"] for r in runs.wait_until_ready(w.where("waiter_id = 1"), o, 6, 1090).collect()}
     assert got == {1: 901}
+
+
+def test_failed_names_of_one_prefix(spark):
+    """Names with one prefix fall into several ranges; their order and chunks stay exact."""
+    names = [f"l10n_{i:04d}" for i in range(400)]
+    rows = [(r, n, r == 2 and n > "l10n_0003") for r in (1, 2) for n in names]
+    outcomes = spark.createDataFrame(rows, "run_id int, module string, ok boolean")
+    got = {(r["run_id"], r["chunk_no"]): r for r in run_verdict(outcomes, chunk=150).collect()}
+    assert {k: v["failed"] for k, v in got.items()} == {
+        (1, 0): ",".join(names[:150]), (1, 1): ",".join(names[150:300]), (1, 2): ",".join(names[300:]),
+        (2, 0): ",".join(names[:4]),
+    }
+    assert {k: v["verdict"] for k, v in got.items()} == {(1, 0): "fatal", (1, 1): "fatal", (1, 2): "fatal", (2, 0): "partial"}

@@ -61,6 +61,8 @@ def test_dump_files(spark, tmp_path):
     write(tmp_path / "e.dump/data", "x")
     write(tmp_path / "f.txt", "x")
     write(tmp_path / "nozip.zip", "x")
+    write(tmp_path / "broken.zip", b"PK\x03\x04 and no directory")
+    write(tmp_path / "empty.sql.gz", b"")
     for name, member in [("good.zip", "dump.sql"), ("bad.zip", "other")]:
         with zipfile.ZipFile(tmp_path / name, "w") as archive:
             archive.writestr(member, "x")
@@ -68,6 +70,7 @@ def test_dump_files(spark, tmp_path):
     assert {r["path"]: (r["base"], r["ext"], r["valid"]) for r in got.collect()} == {
         "a.sql": ("a", ".sql", True), "b.sql.gz": ("b", ".sql.gz", True), "c.sql.gz": ("c", ".sql.gz", False),
         "d": ("d", ".dump", True), "e.dump": ("e", ".dump", False), "f.txt": (None, None, False),
+        "broken.zip": ("broken", ".zip", True), "empty.sql.gz": ("empty", ".sql.gz", True),
         "nozip.zip": ("nozip", ".zip", True), "good.zip": ("good", ".zip", True), "bad.zip": ("bad", ".zip", False),
     }
 
