@@ -12,7 +12,7 @@ from tests_helpers import WORD, brute_components, check_packed
 
 from fleetwright.llm import langid, mixing, packing, pii
 from fleetwright.llm.exact_dedup import directory, exact_dedup, keep_first
-from fleetwright.llm.near_dedup import near_dedup
+from fleetwright.llm.near_dedup import keep_one, near_dedup
 from fleetwright.llm.shingles import PIECE, shingle_sets, word_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -115,6 +115,14 @@ def test_near_dedup_odd(spark, odd):
     assert near_dedup(odd.limit(0)).count() == 0
 
 
+def test_keep_one_tells_repeated_ids_apart(spark):
+    common = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, common, "en", "a"), (2, common + " tail", "en", "a"), (2, "a text of its own", "en", "a"), (None, common + " end", "en", "a")]
+    kept = keep_one(rows_of(spark, rows))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, common), (2, "a text of its own")]
+    assert kept.columns == rows_of(spark, rows).columns
+
+
 def test_language(spark, docs, odd):
     net = langid.fit(langid.train_rows(docs))
     got = langid.identify(docs, net).where(langid.held_out() & F.col("lang").isNotNull())
