@@ -27,8 +27,8 @@ def _trim(edges: DataFrame) -> DataFrame:
     while size:
         needs = left.select(F.col("module").alias("dep")).distinct()
         needed = left.select(F.col("dep").alias("module")).distinct()
-        inner = look_up(left, needs, ["dep"], ["module"], "left_semi")
-        left = cut_lineage(look_up(inner, needed, ["module"], ["dep"], "left_semi"))
+        inner = look_up(left, needs, ["dep"], ["module"], "left_semi", 1)
+        left = cut_lineage(look_up(inner, needed, ["module"], ["dep"], "left_semi", 1))
         smaller = left.count()
         if smaller == size:
             break
@@ -46,7 +46,7 @@ def _furthest(edges: DataFrame, start: str, end: str) -> DataFrame:
     moved = best
     while True:
         sent = (
-            look_up(edges.withColumnRenamed(start, "node"), moved, ["node"], [end])
+            look_up(edges.withColumnRenamed(start, "node"), moved, ["node"], [end], salts=1)
             .groupBy(F.col(end).alias("node"))
             .agg(F.max("top").alias("_sent"))
         )
@@ -116,10 +116,8 @@ def dependency_order(
     nodes = modules.select(F.col(module).alias("module"), F.col(seq).alias("seq"))
     known = nodes.select("module")
     inner = edges.select("module", "dep").where(F.col("module") != F.col("dep")).distinct()
-    inner = look_up(inner, known, ["module"], ["dep"], "left_semi")
-    inner = look_up(
-        inner, known.withColumnRenamed("module", "dep"), ["dep"], ["module"], "left_semi"
-    )
+    inner = look_up(inner, known, ["module"], ["dep"], "left_semi", 1)
+    inner = look_up(inner, known.withColumnRenamed("module", "dep"), ["dep"], ["module"], "left_semi", 1)
     left = cut_lineage(inner.select("module", "dep"))
     waiting = known
     members = None
@@ -136,7 +134,7 @@ def dependency_order(
         waiting = blocked
         left = cut_lineage(
             look_up(
-                left, blocked.withColumnRenamed("module", "dep"), ["dep"], ["module"], "left_semi"
+                left, blocked.withColumnRenamed("module", "dep"), ["dep"], ["module"], "left_semi", 1
             ).select("module", "dep")
         )
         smaller = left.count()
@@ -168,6 +166,6 @@ def dependency_order(
 def _melt(df: DataFrame, parts: DataFrame, name: str) -> DataFrame:
     """Replace the nodes of `name` by their component, where they have one."""
     named = parts.withColumnRenamed("node", name)
-    return look_up(df, named, [name], df.columns, "left").withColumn(name, F.coalesce("component", name)).drop(
+    return look_up(df, named, [name], df.columns, "left", 1).withColumn(name, F.coalesce("component", name)).drop(
         "component"
     )

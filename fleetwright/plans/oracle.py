@@ -141,6 +141,12 @@ def oracle_sql() -> dict[str, str]:
     counts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in SNAPSHOT_TABLES)
     q["export_snapshot"] = counts
     q["import_snapshot"] = f"SELECT *, true AS verified FROM ({counts})"
+    q["import_snapshot_replace"] = (
+        f"SELECT *, true AS verified, {len(SNAPSHOT_TABLES)} AS tables_now FROM ({counts})"
+    )
+    q["scan_file_inventory"] = """
+        SELECT concat('g', doc_id % 50) AS grp, concat('d', doc_id, '.txt') AS file_key,
+               strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS content_hash FROM documents"""
     q["log_tail_from_offset"] = _LOG_TAIL
     q["log_tail_files"] = q["log_tail_stream"] = (
         "WITH " + _LOG_LINES + " SELECT conv_id, begins AS byte_start, line FROM log_lines"
@@ -452,6 +458,45 @@ def oracle_sql() -> dict[str, str]:
         "FX_LIFECYCLE",
     )
 
+    # chains
+    q["install_list"] = oracle(
+        """WITH RECURSIVE chosen AS (
+               SELECT name, row_number() OVER (ORDER BY path_rank, seq) AS ord
+               FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path_rank, seq) AS rn FROM fx_catalog
+                     WHERE NOT regexp_matches(name, '^red_.*|_1[0-5]$|us_4')
+                       AND (NOT contains(name, 'l10n')
+                            OR list_has_any(list_filter(string_split(name, '_'),
+                                   lambda p: regexp_full_match(p, '[a-z]{2}')), ['au', 'us'])))
+               WHERE rn = 1),
+           edges AS (
+               SELECT module, dep FROM (""" + NAMED_DEPS + """)
+               WHERE module IN (SELECT name FROM chosen) AND dep IN (SELECT name FROM chosen)),
+           paths AS (
+               SELECT name, 0 AS level FROM chosen
+               UNION SELECT e.module, p.level + 1 FROM paths p JOIN edges e ON e.dep = p.name),
+           levels AS (SELECT name, max(level) AS level FROM paths GROUP BY name),
+           ordered AS (
+               SELECT name, row_number() OVER (ORDER BY level, ord) AS ord FROM levels JOIN chosen USING (name))
+           SELECT name, ord FROM ordered
+           UNION ALL SELECT 'web', count(*) + 1 FROM ordered UNION ALL SELECT 'base', count(*) + 2 FROM ordered""",
+        "FX_CATALOG",
+        "FX_DEPS",
+    )
+    q["restore_choice"] = oracle(
+        "WITH "
+        + _ARCHIVES
+        + """ SELECT db, version, filename AS file, CASE WHEN file_id % 3 = 0 THEN 'no_sidecar'
+                     WHEN file_id % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS status
+              FROM named WHERE valid AND version = '17' ORDER BY mtime_s DESC, filename DESC LIMIT 1""",
+        "FX_ARCHIVES",
+    )
+    q["write_upsert"] = oracle(
+        """WITH s AS (SELECT grp % 100 AS grp, file_key, content_hash FROM fx_snap_source),
+                t AS (SELECT grp % 100 AS grp, file_key, content_hash FROM fx_snap_target)
+           SELECT * FROM s UNION ALL SELECT * FROM t WHERE grp NOT IN (SELECT grp FROM s)""",
+        *snaps,
+    )
+
     # config
     lines = "FX_CONFIG_LINES"
     q["config_parse"] = oracle(
@@ -597,3 +642,12 @@ CONNECTIONS = """
            CASE WHEN host_id % 2 = 0 THEN '5433' END AS db_port,
            CASE WHEN host_id % 7 = 0 THEN 'prefer' END AS db_mode
     FROM fx_layers GROUP BY host_id"""
+
+# Dependencies by name: between the first hits of both names, so that no name stands for two modules.
+NAMED_DEPS = """
+    WITH first_hits AS (
+        SELECT c.seq, c.name FROM fx_catalog c
+        JOIN (SELECT name, min(path_rank * 1000000000 + seq) AS place FROM fx_catalog GROUP BY name) m
+          ON m.name = c.name AND m.place = c.path_rank * 1000000000 + c.seq)
+    SELECT a.name AS module, b.name AS dep FROM fx_deps d
+    JOIN first_hits a ON a.seq = d.module JOIN first_hits b ON b.seq = d.dep"""

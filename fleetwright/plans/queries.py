@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from fleetwright.functions.blocks import TABLE_BLOCK_ROWS, row_block
 from fleetwright.functions.text import record_fingerprint, render_template, truthy_flag
 from fleetwright.operators import admin, archives, catalog, config, graph, runs, trees, web
+from fleetwright.plans import chains
 from fleetwright.plans.fixtures import SNAPSHOT_TABLES, fixture, load, run_sql
-from fleetwright.plans.oracle import CONNECTIONS, DUMP_FILES
+from fleetwright.plans.oracle import CONNECTIONS, DUMP_FILES, NAMED_DEPS
 from fleetwright.session import cut_lineage, new_scratch_path
 from fleetwright.sources import files as sources
 from fleetwright.sources import lines as line_sources
@@ -56,15 +57,27 @@ def scan_module_manifests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _write_manifests(batches):
+    """Writes `content` as the manifest of `folder`."""
     for pdf in batches:
         for folder, content in pdf.itertuples(index=False, name=None):
-            store, name = sources.open_store(folder)
-            store.create_dir(name)
-            with store.open_output_stream(f"{name}/{sources.MANIFEST}") as out:
-                out.write(content.encode())
+            _write_file(f"{folder}/{sources.MANIFEST}", content)
         yield pdf[["folder"]]
 
 
+def _write_texts(batches):
+    for pdf in batches:
+        for path, text in pdf.itertuples(index=False, name=None):
+            _write_file(path, text)
+        yield pdf[["path"]]
+
+
+def _write_file(path: str, content: str) -> None:
+    store, name = sources.open_store(path)
+    store.create_dir(name.rpartition("/")[0])
+    with store.open_output_stream(name) as out:
+        out.write(content.encode())
+
+
 @query
 def scan_config_files(spark: SparkSession, sf: str) -> DataFrame:
     """Writes the config lines as files of at most one block of lines, then scans them."""
@@ -90,7 +103,13 @@ def scan_config_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_file_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return sources.scan_file_inventory(spark, sf).select("grp", "file_key", "size", "content_hash")
+    """Writes every document as a file in one of 50 folders, then scans them."""
+    root = new_scratch_path(spark, "texts")
+    path = F.format_string(f"{root}/g%d/d%d.txt", F.col("doc_id") % 50, F.col("doc_id"))
+    texts = load(spark, sf, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    spread = texts.repartition(spark.sparkContext.defaultParallelism * 4, "path")
+    spread.mapInPandas(_write_texts, "path string").write.format("noop").mode("overwrite").save()
+    return sources.scan_file_inventory(spark, root).select("grp", "file_key", "size", "content_hash")
 
 
 def _exported(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
@@ -118,6 +137,28 @@ def import_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return report
 
 
+@query
+def import_snapshot_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """The database that is replaced holds a table that the snapshot has not."""
+    folder, _ = _exported(spark, sf)
+    target = new_scratch_path(spark, "replaced")
+    name = target.rsplit("/", 1)[1].replace("-", "_")
+    spark.sql(f"CREATE DATABASE `{name}` LOCATION '{target}'")
+    load(spark, sf, "region").write.saveAsTable(f"`{name}`.`left_over`")
+    loaded = snapshot.import_snapshot(spark, folder, name, "replace", location=target)
+    tables_now = spark.sql(f"SHOW TABLES IN `{name}`").where("NOT isTemporary").count()
+    report = cut_lineage(
+        loaded.select(
+            F.col("table").alias("table_name"),
+            F.col("rows").alias("n_rows"),
+            "verified",
+            F.lit(tables_now).cast("int").alias("tables_now"),
+        )
+    )
+    spark.sql(f"DROP DATABASE `{name}` CASCADE")
+    return report
+
+
 def _log_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.posexplode(F.split("text", "\n")).alias("piece", "line")
     return load(spark, sf, "conversations").select("conv_id", "turn", lines)
@@ -453,6 +494,38 @@ def lifecycle_audit(spark: SparkSession, sf: str) -> DataFrame:
     return runs.lifecycle_audit(fixture(spark, sf, "FX_LIFECYCLE"))
 
 
+# chains
+
+
+@query
+def install_list(spark: SparkSession, sf: str) -> DataFrame:
+    edges = run_sql(spark, sf, f"SELECT * FROM ({NAMED_DEPS})", "FX_CATALOG", "FX_DEPS")
+    return chains.install_list(
+        fixture(spark, sf, "FX_CATALOG"), edges, "en_AU,en_US", "^red_.*, _1[0-5]$ us_4"
+    )
+
+
+@query
+def restore_choice(spark: SparkSession, sf: str) -> DataFrame:
+    found = fixture(spark, sf, "FX_ARCHIVES")
+    file = F.col("filename").alias("file")
+    tampered = F.when(F.col("file_id") % 5 == 0, F.concat("filename", F.lit("!"))).otherwise(F.col("filename"))
+    sidecars = found.where("file_id % 3 <> 0").select(file, F.sha2(tampered, 256).alias("recorded_hash"))
+    return chains.restore_choice(found, found.select(file, F.col("filename").alias("content")), sidecars, "17")
+
+
+@query
+def write_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Stores the target tree by group, writes the upsert over it and reads it back."""
+    source, target = (d.withColumn("grp", F.col("grp") % 100) for d in _snapshots(spark, sf))
+    path = new_scratch_path(spark, "tree")
+    by_group = target.select("file_key", "content_hash", "grp").repartition("grp")
+    by_group.write.partitionBy("grp").parquet(path)
+    stored = spark.read.schema(by_group.schema).parquet(path)
+    trees.write_upsert(source, stored, path)
+    return spark.read.schema(by_group.schema).parquet(path).select("grp", "file_key", "content_hash")
+
+
 # config tables
 
 

@@ -53,8 +53,10 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to reliable storage and read it back, so that iterations stay short and a
-    lost executor costs one round at most."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
-    return df.checkpoint(eager=True)
+    lost executor costs one round at most.
+
+    Stored as Parquet: compressed, and with a size that Spark knows when it plans a join.
+    """
+    path = new_scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

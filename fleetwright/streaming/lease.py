@@ -20,6 +20,8 @@ from fleetwright.session import STATE_STORE, STATE_STORE_CONF, cut_lineage
 
 # Fixed value: lifetime of a lease in seconds.
 LEASE_SECONDS = 3_600
+# How far an operation may lie behind the newest one of an earlier micro-batch.
+LATE_SECONDS = 86_400
 
 _OUT = "lock_name string, event_id bigint, op string, t bigint, granted boolean, expires bigint"
 
@@ -274,13 +276,19 @@ _HELD = -(2**63)
 
 
 def start_lease_state(
-    ops: DataFrame, path: str, checkpoint: str, ttl_seconds: int = LEASE_SECONDS
+    ops: DataFrame,
+    path: str,
+    checkpoint: str,
+    ttl_seconds: int = LEASE_SECONDS,
+    late_seconds: int = LATE_SECONDS,
 ) -> StreamingQuery:
     """Stream by whole micro-batches: each is resolved by `lease_state`, so one lock may fill it.
 
     Below `path` every micro-batch has a folder with its operations and one with the leases it
     leaves behind; these go first in the next one. Running a micro-batch again replaces both.
-    Later micro-batches must not bring earlier operations of the same lock.
+    Later micro-batches must not bring earlier operations of the same lock. A lease that ended
+    `late_seconds` before the newest operation of a micro-batch is not carried on, so the rows
+    carried are those of live and lately ended leases, however many locks were ever seen.
     """
 
     def resolve(batch: DataFrame, batch_id: int) -> None:
@@ -300,8 +308,10 @@ def start_lease_state(
         done = f"{path}/operations/batch={batch_id}"
         lease_state(cut_lineage(rows), ttl_seconds).write.mode("overwrite").parquet(done)
         last = F.max_by("expires_at", F.struct("ts", "event_id")).alias("expires_at")
-        live = spark.read.parquet(done).groupBy("lock_name").agg(last)
-        live.where(F.col("expires_at").isNotNull()).write.mode("overwrite").parquet(
+        resolved = spark.read.parquet(done)
+        newest = resolved.agg(F.max("ts").alias("newest"))
+        kept = F.col("expires_at") + F.make_dt_interval(secs=F.lit(late_seconds)) >= F.lit(newest.first()[0])
+        resolved.groupBy("lock_name").agg(last).where(F.col("lock_name").isNotNull() & kept).write.mode("overwrite").parquet(
             f"{path}/live/batch={batch_id}"
         )
 

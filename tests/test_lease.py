@@ -112,3 +112,16 @@ def test_streams_keep_the_lease_between_micro_batches(spark, tmp_path):
     whole.awaitTermination()
     assert len(list((tmp_path / "whole" / "live").glob("batch=*"))) == 4
     assert results(read_lease_state(spark, str(tmp_path / "whole"))) == brute_force(ops, 60)
+
+
+def test_ended_leases_are_not_carried_on(spark, tmp_path):
+    # Every micro-batch takes locks of its own; ten batches later their leases are long over.
+    for i in range(10):
+        ops = [(i * 10 + k, f"lock_{i}_{k}", EPOCH + timedelta(minutes=10 * i), "acquire") for k in range(10)]
+        frame = spark.createDataFrame(ops, "event_id bigint, lock_name string, ts timestamp, op string").coalesce(1)
+        frame.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start_lease_state(stream, str(tmp_path / "out"), str(tmp_path / "marks"), 60, late_seconds=900).awaitTermination()
+    live = [spark.read.parquet(str(p)).count() for p in sorted((tmp_path / "out" / "live").glob("batch=*"))]
+    assert len(live) == 10 and max(live) <= 20
+    assert read_lease_state(spark, str(tmp_path / "out")).where("granted").count() == 100

@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare, open_duckdb
+from fleetwright.plans.oracle import oracle_sql
+from fleetwright.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-ORACLE = entry.oracle_sql()
-ROWS_ONLY = {"scan_file_inventory"}
+ORACLE = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,15 +16,15 @@ def con():
     return open_duckdb(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    assert (name in ORACLE) != (name in ROWS_ONLY)
-    result = compare(spark, con, SF, name, ORACLE.get(name))
-    assert result.startswith(("ok", "rows only")), result
+    result = compare(spark, con, SF, name, ORACLE[name])
+    assert result.startswith("ok"), result
 
 
 def test_every_sql_twin_has_a_query():
-    assert set(ORACLE) <= set(entry.queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_has_rows(spark):
