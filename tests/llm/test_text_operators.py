@@ -12,7 +12,7 @@ from tests_helpers import WORD, brute_components, check_packed
 
 from fleetwright.llm import langid, mixing, packing, pii
 from fleetwright.llm.exact_dedup import directory, exact_dedup, keep_first
-from fleetwright.llm.near_dedup import keep_one, near_dedup
+from fleetwright.llm.near_dedup import SKETCH, keep_one, least_listed, least_shared, near_dedup
 from fleetwright.llm.shingles import PIECE, shingle_sets, word_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -106,6 +106,39 @@ def test_near_dedup_families(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_near_dedup_where_the_partner_hides_values(spark):
+    """47 of 58 shingles: the sketch of the larger set may hide ten of the shared ones."""
+    rows = []
+    for i in range(60):
+        words = [f"p{i}x{j}" for j in range(59)]
+        rows += [(2 * i, " ".join(words[:48]), "en", "s"), (2 * i + 1, " ".join(words), "en", "s")]
+    want = brute_components([r[:2] for r in rows], 2, 80)
+    got = near_dedup(rows_of(spark, rows), width=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert {n for n, _ in want.values()} == {47, 58} and {c for _, c in want.values()} == set(range(0, 120, 2))
+
+
+def test_near_dedup_at_another_threshold(spark):
+    rows = []
+    for i in range(40):
+        words = [f"p{i}x{j}" for j in range(301)]
+        rows += [(2 * i, " ".join(words[:152]), "en", "s"), (2 * i + 1, " ".join(words), "en", "s")]
+    want = brute_components([r[:2] for r in rows], 2, 50)
+    got = near_dedup(rows_of(spark, rows), width=2, percent=50).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    with pytest.raises(ValueError):
+        near_dedup(rows_of(spark, rows), percent=20)
+
+
+def test_bounds_of_sketches():
+    assert least_shared(SKETCH, 80) == 25 and least_listed(47, SKETCH, 80) == 37
+    for n in range(1, SKETCH):
+        for m in range(1, 100):
+            for both in range(1, min(n, m) + 1):
+                if 100 * both >= 80 * (n + m - both):
+                    assert least_listed(n, SKETCH, 80) <= both - max(0, m - SKETCH)
+
+
 def test_near_dedup_odd(spark, odd):
     got = near_dedup(odd, width=2).collect()
     assert len(got) == odd.count()
