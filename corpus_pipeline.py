@@ -22,9 +22,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which no language can be told go: null, or without a letter."""
+    """Texts in which no language can be told go: null, or without a letter.
+
+    Labels do not decide: texts with letters stay even if there was nothing to train on, or if
+    rows are labelled as of unknown language.
+    """
     found = identify(docs, fit(train_rows(docs)))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return found.where((F.col("lang_pred") != UNKNOWN) | letters).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

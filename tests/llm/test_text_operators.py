@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests_helpers import WORD, brute_components, check_packed
 
+import corpus_pipeline
 from fleetwright.llm import langid, mixing, packing, pii
 from fleetwright.llm.exact_dedup import directory, exact_dedup, keep_first
 from fleetwright.llm.near_dedup import SKETCH, keep_one, least_listed, least_shared, near_dedup
@@ -167,6 +168,16 @@ def test_language(spark, docs, odd):
     assert langid.identify(odd, None).where("lang_pred <> 'und'").isEmpty()
 
 
+def test_language_stage_keeps_texts_without_labels(spark, docs, odd):
+    for label in (None, "und"):
+        some = odd.withColumn("lang", F.lit(label).cast("string"))
+        kept = corpus_pipeline.language_id(spark, some, SF)
+        assert kept.columns == odd.columns
+        assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "5", "5", "7", "8", "None", "None"]
+    held = docs.where(langid.held_out())
+    assert corpus_pipeline.language_id(spark, held, SF).count() == held.where(r"text rlike '\\p{L}'").count() > 0
+
+
 def test_windows_cover_texts():
     for n in (0, 1, 3, 255, 256, 257, 508, 509, 510, 2000):
         windows, owner, used = langid.cut(["a" * n])
