@@ -3,7 +3,7 @@
 Every page scores its containers by the text of their paragraphs, links counting against it, and
 votes for the generalised paths (tags and classes without numbers) of its best ones. Votes are
 summed per host in Spark, and every page is extracted again along its host's winning paths. A
-page on which no winning path leads to text uses its own best container.
+page on which no winning path leads to a fair share of what its own best container holds uses that.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from fleetwright.llm.common import store
 
 VOTES = 3  # of a page
 WINNERS = 5  # of a host
+FAIR = 1 / 3  # of the paragraph text of the page's own best container
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*)"
@@ -178,7 +179,7 @@ def scores(page: Page) -> dict[int, float]:
     for node, text, links in page.blocks:
         if page.dropped[node]:
             continue
-        value, share = max(0.0, len(text) - 3.0 * links), 1.0
+        value, share = _value(text, links), 1.0
         while node >= 0 and share >= 0.25:
             if page.tag[node] in CONTAINERS:
                 out[node] = out.get(node, 0.0) + value * share * page.weight[node]
@@ -198,25 +199,42 @@ def votes(source: str) -> list[tuple[str, float]]:
     return [(p, round(s / total, 6)) for p, s in best]
 
 
-def _below(page: Page, chosen: set[int]) -> str:
+def _value(text: str, links: int) -> float:
+    return max(0.0, len(text) - 3.0 * links)
+
+
+def _blocks(page: Page, chosen: set[int]) -> list[tuple[str, int]]:
     inside = [False] * len(page.tag)
     for node, up in enumerate(page.parent):
         inside[node] = node in chosen or (up >= 0 and inside[up])
-    return "\n\n".join(t for node, t, _ in page.blocks if inside[node] and not page.dropped[node])
+    return [(t, links) for node, t, links in page.blocks if inside[node] and not page.dropped[node]]
+
+
+def _below(page: Page, chosen: set[int]) -> str:
+    return "\n\n".join(t for t, _ in _blocks(page, chosen))
+
+
+def _worth(page: Page, chosen: set[int]) -> float:
+    return sum(_value(t, links) for t, links in _blocks(page, chosen))
 
 
 def main_text(source: str, winners: list[str]) -> tuple[str, str | None]:
     """Blocks of the main text joined by empty lines, and the path used."""
     page = parse(source)
     score = scores(page)
+    if not score:
+        return _below(page, {0}), None
+    best = max(score, key=lambda n: (score[n], -n))
+    least, refused = FAIR * _worth(page, {best}), []
     for path in winners:
+        if any(r.startswith(path + ">") for r in refused):
+            continue  # won as what surrounds a refused one
         chosen = {n for n, p in enumerate(page.path) if p == path and page.tag[n] in CONTAINERS and n in score}
-        if chosen:
+        if chosen and _worth(page, chosen) >= least:
             return _below(page, chosen), path
-    if score:
-        best = max(score, key=lambda n: (score[n], -n))
-        return _below(page, {best}), page.path[best]
-    return _below(page, {0}), None
+        if chosen:
+            refused.append(path)
+    return _below(page, {best}), page.path[best]
 
 
 def host_of(url: Column | str) -> Column:

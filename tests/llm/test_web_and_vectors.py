@@ -88,6 +88,18 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_of_two_templates(spark):
+    box = "<body><div class=box><p>" + "The text of this page is in its box. " * 20 + "</p></div></body>"
+    article = "A long article of its own template. " * 20
+    other = f"<body><article><p>{article}</p></article><div class=box><p>A teaser.</p></div></body>"
+    mixed = "<body><div class=box><p>" + "Short text. " * 20 + "</p></div><div class=list><p>" + "Long list. " * 40 + "</p></div></body>"
+    rows = [(i, f"http://h.org/{i}", box) for i in range(20)] + [(20, "http://h.org/20", other), (21, "http://h.org/21", mixed)]
+    got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[0]["path"] == got[21]["path"] == ">body>div.box"
+    assert (got[20]["text"], got[20]["path"]) == (article.strip(), ">body>article")
+    assert got[21]["text"] == ("Short text. " * 20).strip()
+
+
 def test_html_tables(spark):
     got = QUERIES["op6_html_extraction"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").drop("url"), "page_id")
     for r in got.collect():
