@@ -12,6 +12,7 @@ import html as html_lib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +41,7 @@ INLINE = {
 }
 CONTAINERS = {"article", "main", "section", "div", "body", "td", "center"}
 DROPPED = {
-    "head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "template", "svg",
+    "head", "nav", "footer", "aside", "button", "select", "option", "menu", "dialog", "template", "svg",
     "object", "canvas", "audio", "video", "math", "map",
 }
 UNWANTED = {
@@ -51,6 +52,12 @@ UNWANTED = {
     "respond", "widget", "toolbar", "pagination", "pager", "masthead", "login", "search",
 }
 HEADERS = {"header", "topbar"}
+MODIFIERS = {"no", "has", "with", "without"}  # "no-sidebar" says nothing about the element itself
+# Parts that may well hold more text than the article, and articles of their own.
+WORDY = {
+    "comment", "comments", "disqus", "reply", "replies", "respond", "cookie", "cookies", "consent", "notice",
+    "notices", "popup", "modal", "related", "recommended",
+}
 WANTED = {"article", "content", "entry", "main", "post", "story", "text"}
 # What an opening tag closes, if it is open: paragraphs by any block, items by their like.
 CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "body": {"head"}}
@@ -59,18 +66,22 @@ STOPS = {"ul", "ol", "table", "div", "article", "section", "main", "body", "dl"}
 
 @dataclass
 class Page:
-    """Elements (parent, path, dropped, weight) and blocks (element, text, characters in links)."""
+    """Elements (parent, path, dropped, weight) and blocks (element, text, characters in links).
+
+    `doubt` names why an element looks unwanted by its words or as a form; `settle` decides.
+    """
 
     parent: list[int] = field(default_factory=list)
     tag: list[str] = field(default_factory=list)
     path: list[str] = field(default_factory=list)
     dropped: list[bool] = field(default_factory=list)
+    doubt: list[frozenset[str]] = field(default_factory=list)
     weight: list[float] = field(default_factory=list)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
-def _traits(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, float]:
-    """Label of an element in a path, whether it is unwanted, its weight as a container."""
+def _traits(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, frozenset[str], float]:
+    """Label of an element in a path, whether it is surely unwanted, why it may be, its weight."""
     classes, names, hidden = "", "", False
     if attrs.strip():
         for name, a, b, c in _ATTR.findall(attrs):
@@ -82,18 +93,25 @@ def _traits(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, float]:
             hidden |= name == "hidden" or (name == "style" and "display:none" in value.replace(" ", ""))
     words = set(re.split(r"[^a-z]+", names)) if names else set()
     label = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in classes.split()} - {""})])
-    header = (tag == "header" or bool(words & HEADERS)) and not in_article
+    doubt = {"form"} if tag == "form" else set()
+    if tag not in ("html", "body") and words & (UNWANTED | HEADERS) or tag == "header":
+        said = [re.split(r"[^a-z]+", token) for token in names.split()]
+        own = {tag}.union(*(takewhile(lambda w: w not in MODIFIERS, s) for s in said))
+        doubt |= own & (UNWANTED if in_article else UNWANTED | HEADERS)
     bad = tag in DROPPED or hidden
-    if tag not in ("html", "body", "main", "article"):
-        bad |= header or bool(words & UNWANTED)
     weight = {"article": 1.5, "main": 1.2}.get(tag, 1.25 if words & WANTED else 1.0)
-    return label, bad, weight
+    return label, bad, frozenset(doubt), weight
+
+
+def _value(text: str, links: int) -> float:
+    return max(0.0, len(text) - 3.0 * links)
 
 
 def parse(source: str) -> Page:
     """Elements and text blocks of a page, however broken its markup is."""
     page = Page()
     page.parent.append(-1), page.tag.append("html"), page.path.append(""), page.dropped.append(False), page.weight.append(0.5)
+    page.doubt.append(frozenset())
     stack, texts, links, depth_a, in_article = [0], [], 0, 0, 0
 
     def flush() -> None:
@@ -160,19 +178,59 @@ def parse(source: str) -> Page:
         close({"p"}, STOPS | {"li", "td"})
         if name in CLOSES:
             close(CLOSES[name], STOPS - CLOSES[name] - {"div"})
-        label, bad, weight = _traits(name, attrs, in_article > 0)
+        label, bad, doubt, weight = _traits(name, attrs, in_article > 0)
         up = stack[-1]
         in_article += name == "article"
         page.parent.append(up)
         page.tag.append(name)
         page.path.append(f"{page.path[up]}>{label}" if name in CONTAINERS else page.path[up])
         page.dropped.append(page.dropped[up] or bad)
+        page.doubt.append(doubt)
         page.weight.append(weight)
         stack.append(len(page.tag) - 1)
     flush()
+    settle(page)
     return page
 
 
+def settle(page: Page) -> None:
+    """Drop what is in doubt, except what holds the page's article or most of its paragraphs.
+
+    If no paragraph is left then, nothing is dropped for its words.
+    """
+    if not any(page.doubt):
+        return
+    nodes = range(len(page.tag))
+    held = [0.0] * len(nodes)
+    for node, text, links in page.blocks:
+        held[node] += 0.0 if page.dropped[node] else _value(text, links)
+    own = list(held)
+    articles = [
+        tag in ("article", "main") and not page.dropped[n] and not page.doubt[n] for n, tag in enumerate(page.tag)
+    ]
+    above = list(articles)
+    for node in reversed(nodes[1:]):
+        held[page.parent[node]] += held[node]
+        above[page.parent[node]] |= above[node]
+    doubtful = [bool(d) and page.tag[n] not in ("article", "main") for n, d in enumerate(page.doubt)]
+
+    def inherited(flags: list[bool]) -> list[bool]:
+        out = list(flags)
+        for node in nodes[1:]:
+            out[node] |= out[page.parent[node]]
+        return out
+
+    inside = inherited(doubtful)
+    free = any(a and not i and held[n] > 0 for n, (a, i) in enumerate(zip(articles, inside, strict=True)))
+    for node in nodes:
+        if doubtful[node] and not page.doubt[node] & WORDY:
+            most = held[node] * 2 > held[0]
+            doubtful[node] = not (most or (above[node] and held[node] > 0 and not free))
+    dropped = [a or b for a, b in zip(page.dropped, inherited(doubtful), strict=True)]
+    if any(v > 0 and not d for v, d in zip(own, dropped, strict=True)) or not held[0]:
+        page.dropped = dropped
+
+
 def scores(page: Page) -> dict[int, float]:
     """Score of each container: text of its paragraphs, and half of that of its child containers."""
     out: dict[int, float] = {}
@@ -199,10 +257,6 @@ def votes(source: str) -> list[tuple[str, float]]:
     return [(p, round(s / total, 6)) for p, s in best]
 
 
-def _value(text: str, links: int) -> float:
-    return max(0.0, len(text) - 3.0 * links)
-
-
 def _blocks(page: Page, chosen: set[int]) -> list[tuple[str, int]]:
     inside = [False] * len(page.tag)
     for node, up in enumerate(page.parent):

@@ -100,6 +100,24 @@ def test_html_of_two_templates(spark):
     assert got[21]["text"] == ("Short text. " * 20).strip()
 
 
+def test_html_in_wrappers_with_unwanted_words():
+    body = "A long paragraph of the article. " * 10
+    rest = "<div class=sidebar><p>Side text.</p></div><div class=comments><p>Nice.</p></div><form><p>Search it</p></form>"
+    for name in ("class='content no-sidebar'", "class=content-sidebar", "class=has-banner", "id=with-menu", "class=widget"):
+        for inner in (f"<article><p>{body}</p></article>", f"<div class=text><p>{body}</p></div>"):
+            assert html_text.main_text(f"<body><div {name}>{inner}</div>{rest}</body>", [])[0] == body.strip()
+    page = f"<body><form action=x><div><p>{body}</p></div><div class=sidebar>Side text.</div></form></body>"
+    assert html_text.main_text(page, [])[0] == body.strip()
+    # Comments and notices may be longer than the article, and still go; alone on a page they stay.
+    for name in ("comments", "cookie-notice", "related"):
+        noise = f"<div class={name}><article class={name}><p>{body * 3}</p></article></div>"
+        assert html_text.main_text(f"<body><div class=post><p>{body}</p></div>{noise}</body>", [])[0] == body.strip()
+        assert html_text.main_text(f"<body>{noise}</body>", [])[0] == (body * 3).strip()
+    # An article outside keeps those inside of a sidebar out.
+    page = f"<body><article><p>{body}</p></article><div class=sidebar><article><p>Teaser.</p></article></div></body>"
+    assert html_text.main_text(page, [])[0] == body.strip()
+
+
 def test_html_tables(spark):
     got = QUERIES["op6_html_extraction"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").drop("url"), "page_id")
     for r in got.collect():
