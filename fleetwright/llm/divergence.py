@@ -1,8 +1,10 @@
 """How far the sources of a language are from each other, by chunk factorization.
 
-1. Blocks of documents are cut into chunks at white space. A block keeps its distinct chunks and,
-   per document, the numbers of its chunks with their counts (a sparse matrix in a few bytes per
-   entry). A chunk that is in every document is one row per block, not one per document.
+1. Documents are put in ranges of lang and source, so that a block of them has few sources; ranges
+   are of equal size, whatever the largest source. A block is cut into chunks at white space. It
+   keeps its distinct chunks and, per document, the numbers of its chunks with their counts (a
+   sparse matrix in a byte or two per entry). A chunk that is in every document is one row per
+   block, not one per document.
 2. Each globally distinct chunk is split into terms once.
 3. The terms are joined back to the chunks of each block; the block's matrix turns them into
    distinct documents and occurrences per (lang, source, term), which are then added up.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 import string
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -86,15 +89,25 @@ class _Block:
             {
                 "block": [block],
                 "groups": [[{"lang": a, "source": b} for a, b in self.groups]],
-                "doc_group": [np.array(self.doc_group, np.int32).tobytes()],
-                "doc_entries": [np.array([len(e) for e in self.entries], np.int32).tobytes()],
-                "ids": [np.concatenate(self.entries).astype(np.int32).tobytes()],
-                "counts": [np.concatenate(self.counts).astype(np.int64).tobytes()],
+                "doc_group": [packed(np.array(self.doc_group))],
+                "doc_entries": [packed(np.array([len(e) for e in self.entries]))],
+                # Numbers ascend within a document, so that their steps are small.
+                "ids": [packed(np.concatenate([np.diff(e, prepend=0) for e in self.entries]))],
+                "counts": [packed(np.concatenate(self.counts))],
                 "chunks": [[c.decode("utf-8", "surrogatepass") for c in self.chunks]],
             }
         )
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, compressed; the planes of small numbers are zeros."""
+    return zlib.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def add_up(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of the values of each."""
     if not len(keys):
@@ -121,7 +134,9 @@ def chunk_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield block.frame(number)
 
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return texts.mapInPandas(run, _BLOCK)
+    # The running number cuts a source of any size into ranges, also where all its texts are equal.
+    dealt = texts.withColumn("at", F.monotonically_increasing_id()).repartitionByRange("lang", "source", "at")
+    return dealt.select("lang", "source", "text").mapInPandas(run, _BLOCK)
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -136,10 +151,10 @@ def _count_block(block: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
     if not len(block) or not len(terms):
         return pd.DataFrame([], columns=names)
     row = block.iloc[0]
-    ids, counts = np.frombuffer(row["ids"], np.int32), np.frombuffer(row["counts"], np.int64)
-    entries = np.frombuffer(row["doc_entries"], np.int32)
-    group_of = np.frombuffer(row["doc_group"], np.int32).astype(np.int64)
-    doc = np.repeat(np.arange(len(entries), dtype=np.int64), entries)
+    steps, counts, entries, group_of = (unpacked(row[c]) for c in ("ids", "counts", "doc_entries", "doc_group"))
+    doc = np.repeat(np.arange(len(entries)), entries)
+    sums = np.concatenate(([0], np.cumsum(steps)))
+    ids = sums[1:] - np.repeat(sums[np.cumsum(entries) - entries], entries)
     codes, words = pd.factorize(terms["term"])
     at = terms["pos"].to_numpy()
     order = np.argsort(at, kind="stable")
