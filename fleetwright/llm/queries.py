@@ -17,6 +17,7 @@ from fleetwright.llm.langid import fit, held_out, identify, train_rows
 from fleetwright.llm.mixing import taken_words
 from fleetwright.llm.near_dedup import near_dedup
 from fleetwright.llm.packing import pack
+from fleetwright.llm.spelling import spelling_variants
 from fleetwright.llm.url_filter import judge, page_outcomes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +135,51 @@ cells AS (
 )
 SELECT lang, source, part, item, value, r::INTEGER AS rank FROM ranked WHERE part = 'pair' OR r <= 10
 """
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_spelling_variants"] = r"""
+WITH RECURSIVE codes AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+    lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), b)) AS code
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS bytes FROM runs GROUP BY ALL
+), checked AS (
+  SELECT run, n, xor(4294967295, list_reduce(range(length(bytes) // 2),
+    lambda c, i: xor(c >> 8, code[xor(c & 255, ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT) + 1]), 4294967295)) AS h
+  FROM counted, codes
+), shortened AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+  FROM checked
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM shortened WHERE length(word) >= 6 GROUP BY ALL HAVING sum(n) >= 5
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), ranked AS (
+  SELECT word, near, n, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS r FROM near
+), judged AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+         CASE WHEN r.n >= 5 * w.n THEN r.near END AS form, CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1
+), steps AS (
+  SELECT word, word AS at, form AS next FROM judged
+  UNION ALL
+  SELECT s.word, j.word, j.form FROM steps s JOIN judged j ON j.word = s.next
+)
+SELECT j.word, j.form, s.at AS root, j.n, j.n_near, j.form_n
+FROM judged j JOIN steps s ON s.word = j.word AND s.next IS NULL
+"""
