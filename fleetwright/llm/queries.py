@@ -16,6 +16,7 @@ from fleetwright.llm.html_text import extract
 from fleetwright.llm.langid import fit, held_out, identify, train_rows
 from fleetwright.llm.mixing import taken_words
 from fleetwright.llm.near_dedup import near_dedup
+from fleetwright.llm.ngram_join import ngram_join
 from fleetwright.llm.packing import pack
 from fleetwright.llm.spelling import spelling_variants
 from fleetwright.llm.url_filter import judge, page_outcomes
@@ -137,6 +138,11 @@ SELECT lang, source, part, item, value, r::INTEGER AS rank FROM ranked WHERE par
 """
 
 
+@query
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 @query
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
