@@ -6,8 +6,8 @@ each block and carry one small row per block across. A file, lock or source that
 of all rows is thereby spread over as many tasks as it has blocks.
 
 `block` names a column that must not decrease along `order` inside a group. The caller adds it
-(`row_block`, `time_block`) and drops it when done; steps that share a block column also share
-one shuffle. Keys must not be null.
+(`range_blocks`, or `row_block` where rows carry a running number) and drops it when done; steps that
+share a block column also share one shuffle. Keys must not be null.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetwright.session import cut_lineage
+
 BLOCK_ROWS = 65_536
 # Rows per block where the totals of all blocks of a table meet in one task.
 TABLE_BLOCK_ROWS = 1 << 20
@@ -34,9 +36,19 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
-def time_block(ts: Column | str, seconds: int = 3_600) -> Column:
-    """Block number of a row that carries a timestamp."""
-    return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+def range_blocks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None, out: str = "_block"
+) -> DataFrame:
+    """Add `out`: blocks of about equal size, whatever the keys and the spread of `order` are.
+
+    Spark samples the rows for splitters over (keys, order) and cuts the table into ranges; the
+    number of a range is the block. A key with a third of all rows, all within one hour, is thereby
+    as many blocks as a third of the ranges. `order` must tell rows of a key apart. The result is
+    stored, because the numbers belong to one run. `ranges` is Spark's own choice if not given.
+    """
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    return cut_lineage(dealt.withColumn(out, F.spark_partition_id().cast("bigint")))
 
 
 def _cols(names: Sequence[str], descending: bool) -> list[Column]:

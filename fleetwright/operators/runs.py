@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.functions.blocks import carry, micros, time_block
+from fleetwright.functions.blocks import carry, range_blocks
 from fleetwright.operators.catalog import ordered_list_agg
 from fleetwright.session import cut_lineage
 
@@ -127,16 +126,17 @@ def lifecycle_audit(
     events: DataFrame,
     request: str = "request_id",
     order: Sequence[str] = ("ts", "event_id"),
-    block_seconds: int = 3_600,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Each state change with the state before it and whether it is allowed.
 
     The first state of a request may be any known one, since requests can be resumed. The
-    previous state is looked up in blocks of time, so a request with very many events is spread
-    over tasks. The allowed pairs are a short fixed list and become a plain filter expression.
+    previous state is looked up in blocks of about equal size, so a request with very many
+    events, even within one hour, is spread over tasks. The allowed pairs are a short fixed list
+    and become a plain filter expression.
     """
     seen = carry(
-        events.withColumn("_block", time_block(order[0], block_seconds)),
+        range_blocks(events.select(request, *order, "state"), [request], list(order), ranges),
         [request],
         "_block",
         list(order),
@@ -182,79 +182,3 @@ def request_state(
             F.col("_last.state").isin(*CLOSING).alias("terminal"),
         )
     )
-
-
-def _up_spans(states: DataFrame, target: str, ts: str, block_seconds: int) -> DataFrame:
-    """Longest stretches of being up, as (target, a, b) in microseconds; b null while open."""
-    seen = states.select(
-        target, "up", micros(ts).alias("a"), time_block(ts, block_seconds).alias("_block")
-    )
-    args = ([target], "_block", ["a"])
-    before = carry(seen, *args, F.struct("up"), "_before", inclusive=False)
-    down = F.when(~F.col("up"), F.col("a"))
-    both = carry(before, *args, down, "b", inclusive=False, backward=True, edges=seen)
-    begins = F.col("up") & ~F.coalesce(F.col("_before.up"), F.lit(False))
-    return both.where(begins).select(target, "a", "b")
-
-
-def wait_until_ready(
-    waiters: DataFrame,
-    states: DataFrame,
-    sleep_seconds: int,
-    max_checks: int,
-    waiter: str = "waiter_id",
-    target: str = "target",
-    ts: str = "ts",
-    block_seconds: int = 3_600,
-) -> DataFrame:
-    """For each waiter the check at which its target is up, or a timeout.
-
-    Check k (from 0) happens at the start plus k times the pause. A state holds until the next
-    observation; one observation per target and time. `attempts` counts checks from 1.
-
-    The search goes in rounds: each open waiter looks up the first up-span that ends after its
-    next check, which is one carry in blocks of time. Either a check falls inside the span, or
-    the waiter goes on behind it. Rows grow with waiters and spans, never with their pairs, and
-    only open waiters take part in the next round.
-    """
-    step = sleep_seconds * 1_000_000
-    spans = _up_spans(states.where(F.col(target).isNotNull()), target, ts, block_seconds)
-    far = F.lit((1 << 63) - 1)
-    spans = cut_lineage(
-        spans.select(target, F.coalesce("b", far).alias("p"), F.struct("a", F.coalesce("b", far).alias("b")).alias("_span"))
-    )
-    start = waiters.select(waiter, target, micros(ts).alias("t0"), F.lit(0).cast("bigint").alias("k"))
-    still, settled = start, []
-    while True:
-        asked = still.withColumn("p", F.col("t0") + F.col("k") * F.lit(step))
-        rows = spans.withColumn("_kind", F.lit(0)).unionByName(
-            asked.withColumn("_kind", F.lit(1)), allowMissingColumns=True
-        )
-        rows = rows.withColumn("_block", F.floor(F.col("p") / F.lit(block_seconds * 1_000_000)).cast("bigint"))
-        met = carry(rows, [target], "_block", ["p", "_kind"], F.col("_span"), "_next", inclusive=False, backward=True)
-        later = F.ceil((F.col("_next.a") - F.col("t0")) / F.lit(step)).cast("bigint")
-        later = F.when(F.col("_next").isNotNull(), F.greatest(later, F.col("k")))
-        met = met.where(F.col("_kind") == 1).withColumn("k", later)
-        hit = F.col("t0") + F.col("k") * F.lit(step) < F.col("_next.b")
-        met = cut_lineage(
-            met.select(
-                waiter,
-                target,
-                "t0",
-                F.when(F.col("k") < max_checks, F.col("k")).alias("k"),
-                (hit | F.col("k").isNull() | (F.col("k") >= max_checks)).alias("done"),
-            )
-        )
-        settled.append(met.where("done").select(waiter, "t0", "k"))
-        still = met.where("not done").select(waiter, target, "t0", "k")
-        if still.isEmpty():
-            break
-    found = reduce(DataFrame.unionByName, settled)
-    ready = F.col("k").isNotNull()
-    moment = F.timestamp_micros(F.col("t0") + F.col("k") * F.lit(step))
-    return found.select(
-        waiter,
-        F.when(ready, F.col("k") + 1).otherwise(F.lit(max_checks)).cast("bigint").alias("attempts"),
-        F.when(ready, moment).cast(waiters.schema[ts].dataType).alias("ready_ts"),
-        F.when(ready, "ready").otherwise("timeout").alias("outcome"),
-    )

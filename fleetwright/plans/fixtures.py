@@ -37,6 +37,17 @@ SELECT CAST(p_partkey % 3 AS INT) AS path_rank, p_partkey AS seq,
             THEN concat('l10n_', CASE p_partkey % 5 WHEN 0 THEN 'au' WHEN 1 THEN 'de' WHEN 2 THEN 'us' WHEN 3 THEN 'fr' ELSE 'generic' END, '_', CAST(p_size AS STRING))
             ELSE concat(replace(p_name, ' ', '_'), '_', CAST(p_size AS STRING)) END AS name
 FROM part
+""",
+    # blocklist patterns, as many as every twentieth module
+    "FX_PATTERNS": r"""
+SELECT p_partkey AS pattern_id,
+       CASE p_partkey % 6 WHEN 0 THEN concat('^', replace(p_name, ' ', '_'), '_', CAST(p_size AS STRING), '$')
+            WHEN 1 THEN concat('*', replace(substring(p_name, 3, 9), ' ', '.'), '_[0-9]*', CAST(p_size AS STRING), '$')
+            WHEN 2 THEN concat('^l10n_(au|de)_', CAST(p_size AS STRING), '$')
+            WHEN 3 THEN concat('^[a-d]+_', substring(p_name, 2, 2), '.*_', CAST(p_size AS STRING), '$')
+            WHEN 4 THEN concat(substring(replace(p_name, ' ', '_'), 1, 7), 'x?_+', CAST(p_size AS STRING))
+            ELSE concat('nothing_', CAST(p_partkey AS STRING)) END AS pattern
+FROM part WHERE p_partkey % 20 < 1
 """,
     # module → dependency edges, acyclic; deps above 1000000 do not exist
     "FX_DEPS": r"""
@@ -60,6 +71,22 @@ FROM orders WHERE o_orderkey % 11 <> 0 AND o_custkey % 10 <> 9
 SELECT o_custkey AS grp, o_orderkey AS file_key,
        md5(concat(o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 170 = 0 THEN 'old' ELSE CAST(o_orderkey % 17 AS STRING) END)) AS content_hash
 FROM orders WHERE o_custkey % 10 <> 8 AND (o_custkey % 4 <> 1 OR o_orderkey % 13 <> 0) AND (o_orderkey % 11 <> 0 OR o_custkey % 6 = 0)
+""",
+    # trees with folders; some have a file where the other side has a folder
+    "FX_TREE_SOURCE": r"""
+SELECT grp, file_key, min(content_hash) AS content_hash FROM (
+    SELECT CAST(o_custkey % 500 AS BIGINT) AS grp, md5(concat(o_orderstatus, CAST(o_orderkey % 17 AS STRING))) AS content_hash,
+           CASE WHEN o_custkey % 500 % 7 = 0 AND o_orderkey % 5 = 0 THEN 'd0' WHEN o_orderkey % 31 = 0 THEN concat('top', CAST(o_orderkey AS STRING))
+                ELSE concat('d', CAST(o_orderkey % 5 AS STRING), '/s', CAST(o_orderkey % 3 AS STRING), '/f', CAST(o_orderkey AS STRING)) END AS file_key
+    FROM orders WHERE o_orderkey % 11 <> 0 OR o_custkey % 500 % 4 <> 0) t GROUP BY grp, file_key
+""",
+    "FX_TREE_TARGET": r"""
+SELECT grp, file_key, min(content_hash) AS content_hash FROM (
+    SELECT CAST(o_custkey % 500 AS BIGINT) AS grp,
+           md5(concat(o_orderstatus, CASE WHEN o_orderkey % 190 = 0 THEN 'old' ELSE CAST(o_orderkey % 17 AS STRING) END)) AS content_hash,
+           CASE WHEN o_custkey % 500 % 6 = 1 AND o_orderkey % 5 = 1 AND o_orderkey % 3 = 0 THEN 'd1/s0' WHEN o_orderkey % 31 = 0 THEN concat('top', CAST(o_orderkey AS STRING))
+                ELSE concat('d', CAST(o_orderkey % 5 AS STRING), '/s', CAST(o_orderkey % 3 AS STRING), '/f', CAST(o_orderkey AS STRING)) END AS file_key
+    FROM orders WHERE o_orderkey % 13 <> 0 OR o_custkey % 500 % 3 <> 0) t GROUP BY grp, file_key
 """,
     # backup file catalogue; 'bad.tar.gz' is malformed
     "FX_ARCHIVES": r"""

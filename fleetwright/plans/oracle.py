@@ -36,6 +36,34 @@ actions AS (
     FROM diff GROUP BY grp)
 """
 
+_TREES = """
+s_dirs AS (SELECT DISTINCT grp, file_key, array_to_string(p[1:i], '/') AS folder
+           FROM (SELECT grp, file_key, string_split(file_key, '/') AS p, unnest(range(1, len(string_split(file_key, '/')))) AS i
+                 FROM fx_tree_source)),
+t_dirs AS (SELECT DISTINCT grp, file_key, array_to_string(p[1:i], '/') AS folder
+           FROM (SELECT grp, file_key, string_split(file_key, '/') AS p, unnest(range(1, len(string_split(file_key, '/')))) AS i
+                 FROM fx_tree_target)),
+s_blocked AS (SELECT s.grp, s.file_key FROM fx_tree_source s JOIN t_dirs t ON t.grp = s.grp AND t.folder = s.file_key
+              UNION SELECT s.grp, s.file_key FROM s_dirs s JOIN fx_tree_target t ON t.grp = s.grp AND t.file_key = s.folder),
+t_blocked AS (SELECT t.grp, t.file_key FROM fx_tree_target t JOIN s_dirs s ON s.grp = t.grp AND s.folder = t.file_key
+              UNION SELECT t.grp, t.file_key FROM t_dirs t JOIN fx_tree_source s ON s.grp = t.grp AND s.file_key = t.folder),
+tree AS (
+    SELECT grp, file_key, s.content_hash AS src, t.content_hash AS tgt,
+           CASE WHEN (grp, file_key) IN (SELECT (grp, file_key) FROM s_blocked UNION ALL SELECT (grp, file_key) FROM t_blocked)
+                THEN 'changed'
+                WHEN t.content_hash IS NULL THEN 'source_only' WHEN s.content_hash IS NULL THEN 'target_only'
+                WHEN s.content_hash = t.content_hash THEN 'same' ELSE 'changed' END AS status
+    FROM fx_tree_source s FULL JOIN fx_tree_target t USING (grp, file_key)),
+contents AS (
+    SELECT 's' AS side, grp, folder, list((f.file_key, f.content_hash) ORDER BY f.file_key) AS held
+    FROM (SELECT * FROM s_dirs UNION ALL SELECT grp, file_key, '' FROM fx_tree_source) d JOIN fx_tree_source f USING (grp, file_key)
+    GROUP BY grp, folder
+    UNION ALL
+    SELECT 't', grp, folder, list((f.file_key, f.content_hash) ORDER BY f.file_key)
+    FROM (SELECT * FROM t_dirs UNION ALL SELECT grp, file_key, '' FROM fx_tree_target) d JOIN fx_tree_target f USING (grp, file_key)
+    GROUP BY grp, folder)
+"""
+
 _ARCHIVES = r"""
 parsed AS (
     SELECT file_id, filename, mtime_s, string_split(replace(filename, '.tar.gz', ''), '_') AS p
@@ -159,6 +187,13 @@ def oracle_sql() -> dict[str, str]:
              AND NOT regexp_matches(name, 'us_4')""",
         "FX_CATALOG",
     )
+    q["blocklist_by_table"] = oracle(
+        """WITH bad AS (SELECT DISTINCT m.name FROM (SELECT DISTINCT name FROM fx_catalog) m
+                       JOIN fx_patterns p ON regexp_matches(m.name, ltrim(p.pattern, '*')))
+           SELECT path_rank, seq, name FROM fx_catalog WHERE name NOT IN (SELECT name FROM bad)""",
+        "FX_CATALOG",
+        "FX_PATTERNS",
+    )
     q["locale_module_filter"] = oracle(
         """SELECT path_rank, seq, name FROM fx_catalog
            WHERE NOT contains(name, 'l10n')
@@ -280,6 +315,26 @@ def oracle_sql() -> dict[str, str]:
     q["overlay_merge"] = oracle(
         "WITH " + _DIFF + " SELECT grp, file_key, coalesce(src, tgt) AS content_hash FROM diff", *snaps
     )
+    folders = ("FX_TREE_SOURCE", "FX_TREE_TARGET")
+    q["tree_diff"] = oracle("WITH " + _TREES + " SELECT grp, file_key, status FROM tree", *folders)
+    q["tree_changes"] = oracle("WITH " + _TREES + " SELECT grp, file_key, status FROM tree WHERE status <> 'same'", *folders)
+    q["differing_folders"] = oracle(
+        "WITH "
+        + _TREES
+        + """ SELECT grp, folder, CASE WHEN t.held IS NULL THEN 'source_only' WHEN s.held IS NULL THEN 'target_only'
+                                       ELSE 'changed' END AS status
+              FROM (SELECT * FROM contents WHERE side = 's') s
+              FULL JOIN (SELECT * FROM contents WHERE side = 't') t USING (grp, folder)
+              WHERE s.held IS DISTINCT FROM t.held""",
+        *folders,
+    )
+    q["tree_merge"] = oracle(
+        "WITH "
+        + _TREES
+        + """ SELECT grp, file_key, coalesce(src, tgt) AS content_hash FROM tree
+              WHERE (grp, file_key) NOT IN (SELECT (grp, file_key) FROM t_blocked)""",
+        *folders,
+    )
     q["mandatory_append"] = oracle(
         """WITH base AS (SELECT name, path_rank * 1000000 + seq AS ord FROM fx_catalog
                          UNION ALL SELECT 'base', -1),
@@ -432,6 +487,16 @@ def oracle_sql() -> dict[str, str]:
                  FROM fx_catalog) WHERE rn = 1""",
         "FX_CATALOG",
     )
+    q["search_roots"] = oracle(
+        """WITH roots AS (
+               SELECT false AS fourth, name, path_rank, seq FROM fx_catalog
+               UNION ALL SELECT true, name, path_rank, seq FROM fx_catalog
+               UNION ALL SELECT true, concat('own_', s_suppkey % 97), 3, s_suppkey FROM supplier),
+           firsts AS (SELECT *, row_number() OVER (PARTITION BY fourth, name ORDER BY path_rank, seq) AS rn FROM roots)
+           SELECT fourth, name, path_rank, seq, row_number() OVER (PARTITION BY fourth ORDER BY path_rank, seq) AS ord
+           FROM firsts WHERE rn = 1""",
+        "FX_CATALOG",
+    )
     q["latest_archive"] = oracle(
         "WITH "
         + _ARCHIVES

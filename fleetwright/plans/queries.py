@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetwright.functions.blocks import TABLE_BLOCK_ROWS, row_block
 from fleetwright.functions.text import record_fingerprint, render_template, truthy_flag
-from fleetwright.operators import admin, archives, catalog, config, graph, runs, trees, web
+from fleetwright.operators import admin, archives, catalog, config, graph, patterns, runs, trees, waiting, web
 from fleetwright.plans import chains
 from fleetwright.plans.fixtures import SNAPSHOT_TABLES, fixture, load, run_sql
 from fleetwright.plans.oracle import CONNECTIONS, DUMP_FILES, NAMED_DEPS
@@ -230,6 +230,12 @@ def blocklist_filter(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def blocklist_by_table(spark: SparkSession, sf: str) -> DataFrame:
+    modules = fixture(spark, sf, "FX_CATALOG")
+    return patterns.blocklist_by_table(modules, fixture(spark, sf, "FX_PATTERNS")).select("path_rank", "seq", "name")
+
+
 @query
 def locale_module_filter(spark: SparkSession, sf: str) -> DataFrame:
     modules = fixture(spark, sf, "FX_CATALOG")
@@ -353,6 +359,32 @@ def overlay_merge(spark: SparkSession, sf: str) -> DataFrame:
     return trees.overlay_merge(base=target, new=source)
 
 
+def _folder_trees(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return fixture(spark, sf, "FX_TREE_SOURCE"), fixture(spark, sf, "FX_TREE_TARGET")
+
+
+@query
+def tree_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.snapshot_diff(*_folder_trees(spark, sf))
+
+
+@query
+def tree_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.tree_changes(*_folder_trees(spark, sf))
+
+
+@query
+def differing_folders(spark: SparkSession, sf: str) -> DataFrame:
+    source, target = _folder_trees(spark, sf)
+    return trees.differing_folders(trees.tree_digests(source), trees.tree_digests(target))
+
+
+@query
+def tree_merge(spark: SparkSession, sf: str) -> DataFrame:
+    source, target = _folder_trees(spark, sf)
+    return trees.overlay_merge(base=target, new=source)
+
+
 @query
 def mandatory_append(spark: SparkSession, sf: str) -> DataFrame:
     """The catalogue in its sparse order plus `base`; `web` has to be appended."""
@@ -409,7 +441,7 @@ def checksum_verify(spark: SparkSession, sf: str) -> DataFrame:
 def wait_until_ready(spark: SparkSession, sf: str) -> DataFrame:
     seen = fixture(spark, sf, "FX_READINESS")
     waiters = seen.where("is_waiter").select(F.col("event_id").alias("waiter_id"), "target", "ts")
-    return runs.wait_until_ready(waiters, seen, sleep_seconds=600, max_checks=10)
+    return waiting.wait_until_ready(waiters, seen, sleep_seconds=600, max_checks=10)
 
 
 @query
@@ -479,6 +511,20 @@ def first_wins_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.first_wins_dedup(fixture(spark, sf, "FX_CATALOG"))
 
 
+@query
+def search_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """Three roots and a fourth one that counts only if it holds a module; discovery over all."""
+    found = fixture(spark, sf, "FX_CATALOG")
+    roots = [found.where(F.col("path_rank") == i).select("name", "seq") for i in range(3)]
+    own = load(spark, sf, "supplier").select(
+        F.concat(F.lit("own_"), F.col("s_suppkey") % 97).alias("name"), F.col("s_suppkey").alias("seq")
+    )
+    with_fourth = catalog.first_wins_dedup(catalog.search_roots(*roots, optional=own))
+    empty = own.where("name = 'no such module'")
+    without = catalog.first_wins_dedup(catalog.search_roots(*roots, optional=empty))
+    return with_fourth.withColumn("fourth", F.lit(True)).unionByName(without.withColumn("fourth", F.lit(False)))
+
+
 @query
 def latest_archive(spark: SparkSession, sf: str) -> DataFrame:
     return archives.latest_archive(fixture(spark, sf, "FX_ARCHIVES"))
@@ -642,5 +688,5 @@ def request_state_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
     out, marks = new_scratch_path(spark, "requests"), new_scratch_path(spark, "requests-marks")
     requests.start_request_state(events, out, marks).awaitTermination()
-    return requests.read_request_state(spark.read.parquet(out))
+    return requests.read_request_state(spark, out).drop("event_id")
 

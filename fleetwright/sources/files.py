@@ -2,8 +2,9 @@
 
 Spark's own file sources pass over empty files and over names that begin with `_` or `.`, which
 module trees are full of. These scans therefore list folders with the file system API of Arrow
-inside tasks. A listing is spread over tasks by top folder; contents are read by as many tasks
-as `tasks` says, never more than a few megabytes of a file at a time.
+inside tasks. A tree is walked in rounds: a task that has listed its share hands the folders it has
+not opened yet back, and the next round deals them out anew. Contents are read by as many tasks as
+`tasks` says, never more than a few megabytes of a file at a time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from urllib.parse import quote
 
 import pandas as pd
@@ -21,11 +23,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetwright.session import cut_lineage
+
 # Fixed value: the file that makes a folder a module.
 MANIFEST = "__manifest__.py"
 
 Batches = Iterator[pd.DataFrame]
 _LISTED = 10_000
+# Entries that a task lists in the first round of a walk.
+WALK_SHARE = 10_000
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -58,18 +64,6 @@ def _entries(path: str, recursive: bool) -> list[fs.FileInfo]:
     return sorted(store.get_file_info(selector), key=lambda e: e.base_name.encode())
 
 
-def _walk(path: str) -> Iterator[fs.FileInfo]:
-    """Files below a folder, one folder in memory at a time."""
-    store, base = open_store(path)
-    folders = [base]
-    while folders:
-        for entry in store.get_file_info(fs.FileSelector(folders.pop(), allow_not_found=True)):
-            if entry.type == fs.FileType.Directory:
-                folders.append(entry.path)
-            elif entry.type == fs.FileType.File:
-                yield entry
-
-
 def _prefix(path: str) -> str:
     """What to put before a plain path to get the path as Spark writes it."""
     if ":" not in path or path.startswith("file:"):
@@ -134,44 +128,76 @@ def manifest_edges(modules: DataFrame) -> DataFrame:
     return modules.select(F.col("name").alias("module"), F.explode("depends").alias("dep"))
 
 
+def walk_tree(spark: SparkSession, root: str, tasks: int | None = None, share: int = WALK_SHARE) -> DataFrame:
+    """(path, is_dir, size, mtime) of every file and folder below the root.
+
+    A task opens folders until it has seen `share` entries; what is left goes into the next round,
+    with a share four times as large. One folder is listed by one task, a tree below one top
+    folder by as many as it needs. Each round is stored, so a lost executor costs one at most.
+    """
+    prefix = _prefix(root)
+    frontier = spark.createDataFrame([(root.rstrip("/"),)], "path string")
+    rounds = []
+    while True:
+
+        def step(batches: Batches, share: int = share) -> Batches:
+            def rows():
+                seen = 0
+                for pdf in batches:
+                    folders = pdf["path"].tolist()
+                    while folders:
+                        folder = folders.pop()
+                        if seen >= share:
+                            yield folder, True, True, None, None
+                            continue
+                        store, base = open_store(folder)
+                        for entry in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+                            seen += 1
+                            path = prefix + entry.path
+                            if entry.type == fs.FileType.Directory:
+                                folders.append(path)
+                                yield path, True, False, None, None
+                            elif entry.type == fs.FileType.File:
+                                yield path, False, False, entry.size, entry.mtime
+
+            return _in_batches(rows(), ["path", "is_dir", "is_left", "size", "mtime"])
+
+        dealt = frontier.repartition(_task_count(spark, tasks), "path")
+        found = cut_lineage(dealt.mapInPandas(step, "path string, is_dir boolean, is_left boolean, size bigint, mtime timestamp"))
+        rounds.append(found.where("not is_left").drop("is_left"))
+        frontier = found.where("is_left").select("path")
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        share *= 4
+
+
+def _placed(found: DataFrame, root: str) -> DataFrame:
+    """Adds `key`, the path below the root."""
+    below = len(_prefix(root) + open_store(root.rstrip("/"))[1].rstrip("/")) + 2
+    return found.withColumn("key", F.substring("path", F.lit(below), F.length("path")))
+
+
 def list_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
     """(grp, file_key, path, size, mtime) of every file below the root.
 
     The group is the first folder below the root, empty for files right there; the key is the
     rest of the path.
     """
-    columns = ["grp", "file_key", "path", "size", "mtime"]
-    prefix = _prefix(root)
-
-    def top(batches: Batches) -> Batches:
-        def rows():
-            for pdf in batches:
-                for start in pdf["root"]:
-                    for entry in _entries(start, recursive=False):
-                        is_dir = entry.type == fs.FileType.Directory
-                        yield entry.base_name, prefix + entry.path, is_dir, entry.size, entry.mtime
+    files = _placed(walk_tree(spark, root, tasks).where("not is_dir"), root)
+    at = F.instr("key", "/")
+    return files.select(
+        F.substring("key", F.lit(1), F.greatest(at - 1, F.lit(0))).alias("grp"),
+        F.substring("key", at + 1, F.length("key")).alias("file_key"),
+        "path",
+        "size",
+        "mtime",
+    )
 
-        return _in_batches(rows(), ["name", "path", "is_dir", "size", "mtime"])
 
-    def below(batches: Batches) -> Batches:
-        def rows():
-            for pdf in batches:
-                for name, path, is_dir, size, mtime in pdf.itertuples(index=False, name=None):
-                    if not is_dir:
-                        yield "", name, path, size, mtime
-                        continue
-                    cut = len(open_store(path)[1]) + 1
-                    for entry in _walk(path):
-                        yield name, entry.path[cut:], prefix + entry.path, entry.size, entry.mtime
-
-        return _in_batches(rows(), columns)
-
-    first = _list_roots(
-        spark, [root], top, "name string, path string, is_dir boolean, size bigint, mtime timestamp"
-    )
-    return first.repartition(_task_count(spark, tasks), "path").mapInPandas(
-        below, "grp string, file_key string, path string, size bigint, mtime timestamp"
-    )
+def list_groups(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """(grp) of every folder right below the root, also those without a file."""
+    folders = _placed(walk_tree(spark, root, tasks).where("is_dir"), root)
+    return folders.where(~F.contains("key", F.lit("/"))).select(F.col("key").alias("grp"))
 
 
 def scan_file_inventory(

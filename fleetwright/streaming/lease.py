@@ -15,13 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from fleetwright.functions.blocks import micros, time_block
+from fleetwright.functions.blocks import BLOCK_ROWS, carry, micros, range_blocks
+from fleetwright.functions.lookup import look_up
 from fleetwright.session import STATE_STORE, STATE_STORE_CONF, cut_lineage
 
 # Fixed value: lifetime of a lease in seconds.
 LEASE_SECONDS = 3_600
 # How far an operation may lie behind the newest one of an earlier micro-batch.
 LATE_SECONDS = 86_400
+# Operations of a lock that a stream sorts at once, and the slots it puts more of them into.
+MOST_ROWS = 200_000
+SLOT_SECONDS = 60
 
 _OUT = "lock_name string, event_id bigint, op string, t bigint, granted boolean, expires bigint"
 
@@ -88,13 +92,13 @@ def _walk(t: np.ndarray, acquire: np.ndarray, exp: int | None, ttl: int):
 
 
 def lease_state(
-    ops: DataFrame, ttl_seconds: int = LEASE_SECONDS, block_seconds: int = 3_600
+    ops: DataFrame, ttl_seconds: int = LEASE_SECONDS, ranges: int | None = None, slot_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Batch form: every operation with `granted` and the expiry of the lease live after it.
 
     A lock is surely free after a release and after a gap of one lifetime, so its operations
     fall into stretches that do not depend on each other. Their starts are found in blocks of
-    time: inside a block by comparing neighbours, across blocks from one row per block. Within
+    about equal size: inside a block by comparing neighbours, across blocks from one row per block. Within
     a stretch the first acquire is granted and everything in its lifetime is refused; what
     comes later is left to `_late_operations`.
     """
@@ -104,8 +108,8 @@ def lease_state(
         "event_id",
         "op",
         micros("ts").alias("t"),
-        time_block("ts", block_seconds).alias("_block"),
     )
+    rows = range_blocks(rows, ["lock_name"], ["t", "event_id"], ranges)
     row = F.struct("t", "event_id", "op")
     inside = Window.partitionBy("lock_name", "_block").orderBy("t", "event_id")
     marked = rows.withColumn("_before", F.lag(row).over(inside)).withColumn(
@@ -160,7 +164,7 @@ def lease_state(
     )
     result = settled
     if not late.isEmpty():
-        result = settled.unionByName(_late_operations(late, ttl))
+        result = settled.unionByName(_late_operations(late, ttl, slot_rows))
     return _with_times(result, ops.schema["ts"].dataType).unionByName(_nameless(ops))
 
 
@@ -170,8 +174,16 @@ _STRETCH = ["lock_name", "t0", "e0"]
 _GATHER = 5
 
 
-def _nearest(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Add `_hit`: for rows with `_side` 0 the closest `_target` at or after their `_at`."""
+def _nearest(rows: DataFrame, group: list[str], dense: bool) -> DataFrame:
+    """Add `_hit`: for rows with `_side` 0 the closest `_target` at or after their `_at`.
+
+    `dense` groups are cut into blocks.
+    """
+    if dense:
+        order = ["_at", "_side", "_row"]
+        blocks = range_blocks(rows.withColumn("_row", F.coalesce("t", "_at")), group, order)
+        found = carry(blocks, group, "_block", order, F.col("_target"), "_hit", backward=True)
+        return found.drop("_block", "_row")
     nearest = (
         Window.partitionBy(*group)
         .orderBy(F.col("_at").desc(), F.col("_side").desc())
@@ -180,7 +192,7 @@ def _nearest(rows: DataFrame, group: list[str]) -> DataFrame:
     return rows.withColumn("_hit", F.last("_target", ignorenulls=True).over(nearest))
 
 
-def _merge_chunks(jumps: DataFrame, level: int, ttl: int) -> DataFrame:
+def _merge_chunks(jumps: DataFrame, level: int, ttl: int, dense: bool) -> DataFrame:
     """Jumps through twice as long chunks: leave the left chunk, go on in the right one.
 
     A jump says: if the lease is granted at (t, ev), the last grant inside the chunk is at
@@ -197,41 +209,42 @@ def _merge_chunks(jumps: DataFrame, level: int, ttl: int) -> DataFrame:
             "_target": F.when(side == 1, F.struct("exit")),
         }
     )
-    rows = _nearest(rows, group)
     keep = F.col("_side") == 0
     if level == 0:
-        right = F.min(F.when(F.col("_side") == 1, F.col("t"))).over(Window.partitionBy(*group))
-        rows = rows.withColumn("_right", right)
+        firsts = rows.where(~keep).groupBy(*group).agg(F.min("t").alias("_right"))
+        rows = look_up(rows, cut_lineage(firsts), group, ["t"], "left")
         keep = keep | (F.col("t") == F.col("_right"))
+    rows = _nearest(rows, group, dense)
     far = F.when(F.col("_side") == 0, F.col("_hit.exit"))
     return rows.where(keep).select(
         *_STRETCH, F.col("_pair").alias("chunk"), "t", "ev", F.coalesce(far, "exit").alias("exit")
     )
 
 
-def _look_up(entries: DataFrame, jumps: DataFrame) -> DataFrame:
+def _look_up(entries: DataFrame, jumps: DataFrame, dense: bool) -> DataFrame:
     """Add `_hit` to each entry (stretch, chunk, e): the first jump of its chunk at or after e."""
     targets = jumps.select(
         *_STRETCH,
         "chunk",
+        "t",
         F.col("t").alias("_at"),
         F.lit(1).alias("_side"),
         F.struct("t", "ev", "exit").alias("_target"),
     )
     asked = entries.withColumn("_at", F.col("e")).withColumn("_side", F.lit(0))
     rows = asked.unionByName(targets, allowMissingColumns=True)
-    found = _nearest(rows, [*_STRETCH, "chunk"]).where(F.col("_side") == 0)
+    found = _nearest(rows, [*_STRETCH, "chunk"], dense).where(F.col("_side") == 0)
     return found.select(*_STRETCH, "chunk", "e", "last", "_hit")
 
 
-def _late_operations(late: DataFrame, ttl: int) -> DataFrame:
+def _late_operations(late: DataFrame, ttl: int, slot_rows: int) -> DataFrame:
     """Operations later than one lifetime into their stretch, each with its outcome.
 
     Time is cut into slots of one lifetime; a slot holds one grant at most. Which one depends
     on the slot before, so the slots are joined to chunks of 2, 4, 8, ... slots on the way up,
     each level half as large as the one before, and the expiry at the begin of every chunk is
     handed down again. A lock that is asked for without end is thereby spread over as many
-    tasks as it has slots.
+    tasks as it has slots, and where a slot has more than `slot_rows` moments, it is cut further.
     """
     levels = [
         late.groupBy(*_STRETCH, F.col("slot").alias("chunk"), "t")
@@ -240,14 +253,16 @@ def _late_operations(late: DataFrame, ttl: int) -> DataFrame:
     ]
     ends = late.groupBy(*_STRETCH).agg(F.max("slot").alias("last"))
     slots = ends.agg(F.max("last")).first()[0] + 1
+    dense = levels[0].groupBy(*_STRETCH, "chunk").count().agg(F.max("count")).first()[0] > slot_rows
     while 2 ** (len(levels) - 1) < slots:
-        levels.append(cut_lineage(_merge_chunks(levels[-1], len(levels) - 1, ttl)))
+        levels.append(cut_lineage(_merge_chunks(levels[-1], len(levels) - 1, ttl, dense)))
     first = (F.col("t0") + F.lit(ttl)).alias("e")
     entries = ends.select(*_STRETCH, F.lit(0).cast("bigint").alias("chunk"), first, "last")
     for level in range(len(levels) - 2, -1, -1):
         asked = _look_up(
             entries.withColumn("chunk", F.col("chunk") * 2),
             levels[level].where(F.col("chunk") % 2 == 0),
+            dense,
         )
         left = F.struct("chunk", "e")
         passed = F.coalesce(F.col("_hit.exit") + F.lit(ttl), F.col("e"))
@@ -257,11 +272,11 @@ def _late_operations(late: DataFrame, ttl: int) -> DataFrame:
         entries = asked.select(*_STRETCH, F.inline(halves), "last")
         if level and level % _GATHER == 0:
             entries = cut_lineage(entries)
-    grants = _look_up(entries, levels[0]).withColumnRenamed("chunk", "slot")
+    grants = _look_up(entries, levels[0], dense).withColumnRenamed("chunk", "slot")
     here = F.struct(F.col("t"), F.col("event_id").alias("ev"))
     grant = F.struct(F.col("_hit.t").alias("t"), F.col("_hit.ev").alias("ev"))
     waits = F.col("_hit").isNull() | (here < grant)
-    return late.join(grants, [*_STRETCH, "slot"]).select(
+    return look_up(late, cut_lineage(grants), [*_STRETCH, "slot"], ["t"]).select(
         "lock_name",
         "event_id",
         "op",
@@ -332,39 +347,100 @@ def read_lease_state(spark: SparkSession, path: str) -> DataFrame:
 class LeaseProcessor(StatefulProcessor):
     """State per lock: the expiry of the live lease in microseconds.
 
-    The operations of one lock and micro-batch are sorted in memory, so the source should limit
-    its micro-batches (`maxBytesPerTrigger` and the like); `start_lease_state` has no such
-    limit. Later micro-batches must not bring earlier operations of the same lock.
+    Up to `most_rows` operations of a lock and micro-batch are sorted in memory. More of them are
+    put away in the state store by slots of time and taken up again slot by slot, so that a lock
+    with any share of the rows needs the memory of one frame and one slot. A timer removes a lease
+    that is over. Later micro-batches must not bring earlier operations of the same lock.
     """
 
-    def __init__(self, ttl_seconds: int = LEASE_SECONDS):
+    def __init__(self, ttl_seconds: int = LEASE_SECONDS, timers: bool = True, most_rows: int = MOST_ROWS, slot_seconds: int = SLOT_SECONDS):
         self.ttl = ttl_seconds * 1_000_000
+        self.timers = timers
+        self.most = most_rows
+        self.slot = slot_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.lease = handle.getValueState("lease", "expires bigint")
+        self.waiting = handle.getMapState(
+            "waiting", "slot bigint", "t array<bigint>, event_id array<bigint>, op array<string>"
+        )
+
+    def _put_away(self, frame: pd.DataFrame) -> set[int]:
+        slots = frame["t"] // self.slot
+        for slot, part in frame.groupby(slots):
+            key = (int(slot),)
+            old = self.waiting.getValue(key) if self.waiting.containsKey(key) else ([], [], [])
+            self.waiting.updateValue(key, tuple(list(o) + part[c].tolist() for o, c in zip(old, ("t", "event_id", "op"), strict=True)))
+        return {int(slot) for slot in slots.unique()}
+
+    def _walked(self, name: str, frame: pd.DataFrame, live: int | None) -> tuple[pd.DataFrame, int | None]:
+        frame = frame.sort_values(["t", "event_id"], ignore_index=True)
+        acquire = (frame["op"] != "release").to_numpy()
+        granted, expires, live = _walk(frame["t"].to_numpy(dtype=np.int64), acquire, live, self.ttl)
+        out = frame[["event_id", "op", "t"]].copy()
+        out.insert(0, "lock_name", name)
+        out["granted"] = granted
+        out["expires"] = pd.Series(expires, dtype="Int64").where(expires >= 0)
+        return out, live
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t", "event_id"], ignore_index=True)
         held = self.lease.get()
-        live = None if held is None else held[0]
-        acquire = (pdf["op"] != "release").to_numpy()
-        granted, expires, live = _walk(pdf["t"].to_numpy(dtype=np.int64), acquire, live, self.ttl)
+        before = live = None if held is None else held[0]
+        frames, count, slots = [], 0, set()
+        for frame in rows:
+            frames.append(frame)
+            count += len(frame)
+            if count > self.most:
+                slots |= self._put_away(pd.concat(frames))
+                frames, count = [], 0
+        if slots and frames:
+            slots |= self._put_away(pd.concat(frames))
+        if slots:
+            for slot in sorted(slots):
+                t, event_id, op = self.waiting.getValue((slot,))
+                self.waiting.removeKey((slot,))
+                out, live = self._walked(key[0], pd.DataFrame({"event_id": event_id, "op": op, "t": t}), live)
+                yield out
+        else:
+            out, live = self._walked(key[0], pd.concat(frames), live)
+            yield out
         if live is None:
             self.lease.clear()
         else:
             self.lease.update((live,))
-        out = pdf[["event_id", "op", "t"]].copy()
-        out.insert(0, "lock_name", key[0])
-        out["granted"] = granted
-        out["expires"] = pd.Series(expires, dtype="Int64").where(expires >= 0)
-        yield out
+        if self.timers and live != before:
+            if before is not None:
+                self.handle.deleteTimer(_millis(before))
+            if live is not None:
+                self.handle.registerTimer(_millis(live))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.lease.get()
+        if held is not None and _millis(held[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.lease.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def lease_state_stream(ops: DataFrame, ttl_seconds: int = LEASE_SECONDS) -> DataFrame:
-    """Streaming form of `lease_state` with state per lock, for low delay."""
+def _millis(micros_: int) -> int:
+    return -(-micros_ // 1000)
+
+
+def lease_state_stream(
+    ops: DataFrame,
+    ttl_seconds: int = LEASE_SECONDS,
+    late_seconds: int = LATE_SECONDS,
+    most_rows: int = MOST_ROWS,
+    slot_seconds: int = SLOT_SECONDS,
+) -> DataFrame:
+    """Streaming form of `lease_state` with state per lock, for low delay.
+
+    A lease leaves the state once operations are `late_seconds` behind its end; operations that
+    lie that far behind the newest one of an earlier micro-batch are not expected.
+    """
     # State of this kind needs the RocksDB store. Asking for the query manager brings the state
     # store up also where no stream ran before.
     spark = ops.sparkSession
@@ -374,7 +450,12 @@ def lease_state_stream(ops: DataFrame, ttl_seconds: int = LEASE_SECONDS) -> Data
     rows = ops.where(F.col("lock_name").isNotNull()).select(
         "lock_name", "event_id", "op", micros("ts").alias("t")
     )
+    if ops.isStreaming:
+        rows = rows.withColumn("at", F.timestamp_micros("t")).withWatermark("at", f"{late_seconds} seconds")
     walked = rows.groupBy("lock_name").transformWithStateInPandas(
-        LeaseProcessor(ttl_seconds), outputStructType=_OUT, outputMode="Append", timeMode="None"
+        LeaseProcessor(ttl_seconds, ops.isStreaming, most_rows, slot_seconds),
+        outputStructType=_OUT,
+        outputMode="Append",
+        timeMode="EventTime" if ops.isStreaming else "None",
     )
     return _with_times(walked, ops.schema["ts"].dataType).unionByName(_nameless(ops))

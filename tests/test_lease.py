@@ -74,7 +74,8 @@ def random_ops(seed, n, spread, release, locks):
 def test_batch_and_one_pass_state_equal_brute_force(spark, seed, n, spread, release, ttl):
     ops = random_ops(seed, n, spread, release, 4)
     want = brute_force(ops, ttl)
-    assert results(lease_state(table(spark, ops), ttl, block_seconds=200)) == want
+    assert results(lease_state(table(spark, ops), ttl, ranges=7)) == want
+    assert results(lease_state(table(spark, ops), ttl, ranges=7, slot_rows=2)) == want
     assert results(lease_state_stream(table(spark, ops), ttl)) == want
 
 
@@ -125,3 +126,40 @@ def test_ended_leases_are_not_carried_on(spark, tmp_path):
     live = [spark.read.parquet(str(p)).count() for p in sorted((tmp_path / "out" / "live").glob("batch=*"))]
     assert len(live) == 10 and max(live) <= 20
     assert read_lease_state(spark, str(tmp_path / "out")).where("granted").count() == 100
+
+
+def run_stream(df, tmp_path):
+    query = (
+        df.writeStream.format("parquet")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "marks"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def test_a_hot_lock_is_walked_in_slots(spark, tmp_path):
+    ops = random_ops(8, 900, 4_000, 0.1, 2)
+    ordered = sorted(ops, key=lambda o: (o[2], o[0]))
+    for i in range(3):
+        part = table(spark, ordered[i * 300 : i * 300 + 300]).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table(spark, ops).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run_stream(lease_state_stream(stream, 60, most_rows=20, slot_seconds=50), tmp_path)
+    assert results(spark.read.parquet(str(tmp_path / "out"))) == brute_force(ops, 60)
+
+
+def test_timers_remove_ended_leases(spark, tmp_path):
+    # Every micro-batch takes locks of its own; ten batches later their leases are long over.
+    for i in range(10):
+        ops = [(i * 10 + k, f"lock_{i}_{k}", EPOCH + timedelta(minutes=10 * i), "acquire") for k in range(10)]
+        frame = spark.createDataFrame(ops, "event_id bigint, lock_name string, ts timestamp, op string").coalesce(1)
+        frame.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = run_stream(lease_state_stream(stream, 60, late_seconds=900), tmp_path)
+    assert spark.read.parquet(str(tmp_path / "out")).where("granted").count() == 100
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # A lease and its timer for the locks of the last batches, not of all.
+    assert held[-1] < held[3] + 40 and held[-1] < 100

@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from fleetwright.operators import runs
+from fleetwright.operators import runs, waiting
 from fleetwright.sources.files import config_file_ids
 from fleetwright.sources.lines import scan_config_files, scan_log_lines
 from fleetwright.sources.snapshot import table_checksum
@@ -59,10 +59,10 @@ def test_many_checks(spark):
     states = [("a", at(0), False), ("a", at(7), True), ("a", at(9), False), ("a", at(20), True), ("a", at(21), False), ("a", at(5400), True)]
     o = spark.createDataFrame(states, "target string, ts timestamp_ntz, up boolean")
     w = spark.createDataFrame([(1, "a", at(0)), (2, None, at(0)), (3, "b", at(0))], "waiter_id int, target string, ts timestamp_ntz")
-    got = {r["waiter_id"]: (r["attempts"], r["outcome"]) for r in runs.wait_until_ready(w, o, 5, 1090).collect()}
+    got = {r["waiter_id"]: (r["attempts"], r["outcome"]) for r in waiting.wait_until_ready(w, o, 5, 1090).collect()}
     # Checks at 20 s meet the second span.
     assert got == {1: (5, "ready"), 2: (1090, "timeout"), 3: (1090, "timeout")}
-    got = {r["waiter_id"]: r["attempts"] for r in runs.wait_until_ready(w.where("waiter_id = 1"), o, 6, 1090).collect()}
+    got = {r["waiter_id"]: r["attempts"] for r in waiting.wait_until_ready(w.where("waiter_id = 1"), o, 6, 1090).collect()}
     assert got == {1: 901}
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetwright.functions.text import record_fingerprint, render_template, truthy_flag
-from fleetwright.operators import admin, archives, runs, trees, web
+from fleetwright.operators import admin, archives, runs, trees, waiting, web
 
 
 def tree(spark, rows):
@@ -120,7 +120,7 @@ def as_times(spark, waiters, seen):
 
 def test_wait_succeeds_after_two_pauses_or_times_out(spark):
     w, o = as_times(spark, [(1, "a", 0), (2, "b", 0)], [("a", -9, False), ("a", 10, True), ("b", 0, False)])
-    got = {r["waiter_id"]: (r["attempts"], r["outcome"]) for r in runs.wait_until_ready(w, o, 5, 3).collect()}
+    got = {r["waiter_id"]: (r["attempts"], r["outcome"]) for r in waiting.wait_until_ready(w, o, 5, 3).collect()}
     assert got == {1: (3, "ready"), 2: (3, "timeout")}
 
 
@@ -133,7 +133,7 @@ def test_wait_equals_polling(spark, seed):
     w, o = as_times(spark, waiters, seen)
     got = {
         r["waiter_id"]: (r["attempts"], r["outcome"])
-        for r in runs.wait_until_ready(w, o, 7, 6, block_seconds=40).collect()
+        for r in waiting.wait_until_ready(w, o, 7, 6, bucket_rows=40, ranges=5).collect()
     }
     for i, target, start in waiters:
         k = wait_by_hand(start, [(s, u) for t, s, u in seen if t == target], 7, 6)
