@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -63,13 +64,27 @@ class RequestProcessor(StatefulProcessor):
         pass
 
 
+@contextmanager
+def no_idle_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside run no micro-batches without data. State that expires by the clock would
+    keep a run with `availableNow` busy for ever; expired values go with the next data."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def request_state_stream(
     events: DataFrame, initial: DataFrame | None = None, closed_seconds: float = CLOSED_SECONDS
 ) -> DataFrame:
     """The requests that each micro-batch touches: request_id, state, since, terminal, event_id.
 
     `events` has request_id, ts, event_id and state. `initial` may give the states of an earlier
-    stream (the same columns as the result), with which this one goes on.
+    stream (the same columns as the result), with which this one goes on. Start it inside
+    `no_idle_batches` if it is to end by itself.
     """
     spark = events.sparkSession
     if "RocksDB" not in spark.conf.get(STATE_STORE_CONF):
@@ -128,14 +143,15 @@ def start_request_state(
 
     if initial is not None:
         initial.select(*_COLUMNS).write.mode("overwrite").parquet(f"{path}/kind=snapshot/batch=-1")
-    return (
-        request_state_stream(events, initial, closed_seconds)
-        .writeStream.outputMode("update")
-        .foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    states = request_state_stream(events, initial, closed_seconds)
+    with no_idle_batches(events.sparkSession):
+        return (
+            states.writeStream.outputMode("update")
+            .foreachBatch(keep)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def _stored(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 from fleetwright.operators.runs import request_state
-from fleetwright.streaming.requests import read_request_state, request_state_stream, start_request_state
+from fleetwright.streaming.requests import no_idle_batches, read_request_state, request_state_stream, start_request_state
 
 EPOCH = datetime(2024, 1, 1)
 SCHEMA = "event_id bigint, request_id bigint, ts timestamp, state string"
@@ -30,10 +30,10 @@ def states(df):
 
 
 def test_many_micro_batches_equal_one_table(spark, tmp_path):
-    rows = events(1, 240, 30)
-    source = stream(spark, str(tmp_path / "in"), [rows[i : i + 30] for i in range(0, 240, 30)])
+    rows = events(1, 150, 30)
+    source = stream(spark, str(tmp_path / "in"), [rows[i : i + 30] for i in range(0, 150, 30)])
     out = str(tmp_path / "out")
-    start_request_state(source, out, str(tmp_path / "marks"), snapshot_every=3).awaitTermination()
+    start_request_state(source, out, str(tmp_path / "marks"), snapshot_every=2).awaitTermination()
     assert len(list((tmp_path / "out" / "kind=snapshot").glob("batch=*"))) == 2
     assert states(read_request_state(spark, out)) == states(request_state(spark.createDataFrame(rows, SCHEMA)))
 
@@ -52,7 +52,7 @@ def test_stream_goes_on_from_a_stored_table(spark, tmp_path):
 
 def test_closed_requests_leave_the_state(spark, tmp_path):
     parts = []
-    for i in range(8):
+    for i in range(6):
         new = range(i * 20, i * 20 + 20)
         parts.append([(2 * r, r, EPOCH, "new") for r in new] + [(2 * r + 1, r, EPOCH + timedelta(1), "done") for r in new if r % 20])
     source = stream(spark, str(tmp_path / "in"), parts)
@@ -61,16 +61,17 @@ def test_closed_requests_leave_the_state(spark, tmp_path):
     def look(batch, batch_id):
         sizes.append(batch.count())
 
-    query = (
-        request_state_stream(source, closed_seconds=0.001)
-        .writeStream.outputMode("update")
-        .foreachBatch(look)
-        .option("checkpointLocation", str(tmp_path / "marks"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    states = request_state_stream(source, closed_seconds=0.001)
+    with no_idle_batches(spark):
+        query = (
+            states.writeStream.outputMode("update")
+            .foreachBatch(look)
+            .option("checkpointLocation", str(tmp_path / "marks"))
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
     # One request of each micro-batch stays open; the nineteen others are gone in the next.
-    assert sizes[:8] == [20] * 8
-    assert held[-1] < 3 * 20 and held[-1] - held[1] <= 2 * 8
+    assert sizes[:6] == [20] * 6
+    assert held[-1] < 3 * 20 and held[-1] - held[1] <= 2 * 6
