@@ -46,6 +46,18 @@ def row_key(doc_id: Column | str) -> dict[str, Column]:
     return {"_none": col.isNull(), "_id": F.coalesce(col.cast("string"), F.lit(""))}
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores in front that no column of `df` has it in any case."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers byte plane by byte plane, compressed; the planes of small numbers are zeros."""
     return zlib.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 import string
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -31,17 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import store
+from fleetwright.llm.common import packed, store, unpacked
 
 # Letters: runs of a-z and of characters beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT = 1_000_000_000
 MIN_DOCS = 10
 TOP = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 PIECE = 1 << 20
 # Cells of the (source, term) matrix that one task compares.
-CELLS = 1 << 21
+CELLS = 1 << 17
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _BLOCK = (
     "block bigint, groups array<struct<lang:string,source:string>>, doc_group binary, doc_entries binary, "
@@ -99,15 +98,6 @@ class _Block:
         )
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers byte plane by byte plane, compressed; the planes of small numbers are zeros."""
-    return zlib.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
-
-
 def add_up(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of the values of each."""
     if not len(keys):
