@@ -14,19 +14,24 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import as_strided
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetwright.llm.common import free_names
+
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
 BYTE_DIM = 8
 BATCH = 128
-# Labelled rows per language that are trained on, at most (about), and windows of each.
+# Labelled rows per language that are trained on, at most, and windows of each.
 SAMPLE_ROWS = 500
 SAMPLE_WINDOWS = 4
+# Bounds of the network and of its training set: the most frequent labels are learned, and with
+# many of them each has fewer rows.
 MAX_LANGUAGES = 500
+MAX_WINDOWS = 200_000
 _WIDE = max(WIDTHS)
 # A-Z count as a-z, all digits as one; 0 pads.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -177,32 +182,36 @@ def classify(net: Network, texts: list[str]) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS) -> Network | None:
-    """Train on about `sample_rows` rows of every language of `labelled` (doc_id, text, lang).
+    """Train on `sample_rows` rows of every language of `labelled` (doc_id, text, lang), or on all it has.
 
-    Rows are drawn by a hash of doc_id, windows lie evenly over each drawn text. Rows without
-    label or text are not used; without any, there is no network (None).
+    Those with the smallest hashes of doc_id and text are taken; repeated rows count as one.
+    Windows lie evenly over each text. Rows without label or text are not used; without any,
+    there is no network (None). Of more than `MAX_LANGUAGES` labels the most frequent are learned,
+    and `MAX_WINDOWS` bounds the training set as a whole.
     """
     usable = labelled.where("lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if not counts:
+    most = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES)
+    languages = tuple(sorted(r["lang"] for r in most.collect()))
+    if not languages:
         return None
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels")
-    shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, sample_rows / n))])
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30)
+    rows = max(1, min(sample_rows, MAX_WINDOWS // (sample_windows * len(languages))))
+    keyed = usable.where(F.col("lang").isin(*languages)).withColumn("key", F.xxhash64("doc_id", "text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    drawn = keyed.select("lang", "key").distinct().withColumn("rank", rank).where(F.col("rank") <= rows)
     place = (F.col("i") * F.greatest(F.length("text") - WINDOW, F.lit(0)) / max(sample_windows - 1, 1)).cast("int")
-    rows = (
-        usable.where(draw)
-        .select("lang", "text", F.explode(F.sequence(F.lit(0), F.lit(sample_windows - 1))).alias("i"))
+    found = (
+        keyed.join(F.broadcast(drawn), ["lang", "key"])  # `rows` short rows for each language
+        .select("lang", "key", "text", F.explode(F.sequence(F.lit(0), F.lit(sample_windows - 1))).alias("i"))
         .where("i = 0 or length(text) > 300")
-        .select("lang", F.substring(F.col("text"), place + 1, F.lit(WINDOW)).alias("part"))
+        .select("lang", "key", "i", F.substring(F.col("text"), place + 1, F.lit(WINDOW)).alias("part"))
+        .groupBy("lang", "key", "i")
+        .agg(F.min("part").alias("part"))
         .orderBy("lang", "part")
-        .collect()  # sample_rows * sample_windows short strings for each language
+        .collect()  # rows * sample_windows short strings for each language
     )
-    languages = tuple(sorted(counts))
     known = {name: i for i, name in enumerate(languages)}
-    parts = [r["part"] for r in rows]
-    labels = np.array([known[r["lang"]] for r in rows])
+    parts = [r["part"] for r in found]
+    labels = np.array([known[r["lang"]] for r in found], dtype=np.int64)
     rng = np.random.default_rng(11)  # a third of the windows are shortened, as short texts are
     parts = [p[: rng.integers(4, 80)] if rng.random() < 0.34 else p for p in parts]
     windows = np.zeros((len(parts), WINDOW), dtype=np.uint8)
@@ -212,13 +221,20 @@ def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_windows:
     return train(FOLD[windows], labels, languages)
 
 
-def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """All columns of `docs` and lang_pred, score (0 to 1).
+def least_score(net: Network | None) -> float:
+    """Below this score a text is in none of the languages the network knows: no better than
+    chance, give or take a quarter."""
+    return 0.0 if net is None else min(0.5, 1.25 / len(net.languages))
+
+
+def identify(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of `docs` and lang_pred, score (0 to 1), or as `names` calls these two.
 
     Texts that are null or have no letter get `und` with score 0; so does everything if there
     was nothing to train on. Columns of `docs` with these names are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    lang_pred, score = names
+    rest = [c for c in docs.columns if c not in names]
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
     @F.pandas_udf("lang_pred string, score double")
@@ -234,7 +250,9 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                 scores[live] = p[np.arange(len(best)), best]
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.select(*rest, predict("text", letters).alias("_p")).select(*rest, "_p.lang_pred", "_p.score")
+    (both,) = free_names(docs, "_p")
+    found = docs.select(*rest, predict("text", letters).alias(both))
+    return found.select(*rest, F.col(both)["lang_pred"].alias(lang_pred), F.col(both)["score"].alias(score))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
