@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import BLANKS, row_key, store
+from fleetwright.llm.common import BLANKS, free_names, row_key, store
 
 # A directory has 2**MAX_DEPTH slots at most (65,536 rows of two numbers), so it may be broadcast.
 MAX_DEPTH = 16
@@ -145,10 +145,11 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    keys = ["_none", "_id", "_sha"]
-    kept = exact_dedup(docs, **options).where("kept").withColumns(row_key("doc_id"))
-    kept = kept.withColumnRenamed("text_sha256", "_sha").select(*keys)
-    marked = docs.withColumns({**row_key("doc_id"), "_sha": F.sha2(normalised("text"), 256)})
+    """The rows of `docs` that stay, with all their columns, whatever these are called."""
+    none, name, sha = keys = free_names(docs, "_none", "_id", "_sha")
+    named = dict(zip((none, name), row_key("doc_id").values(), strict=True))
+    kept = exact_dedup(docs, **options).where("kept").withColumns(named)
+    kept = kept.withColumnRenamed("text_sha256", sha).select(*keys)
+    marked = docs.withColumns({**named, sha: F.sha2(normalised("text"), 256)})
     # Rows that repeat doc_id and text are in one partition by now; one of them stays.
     return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
