@@ -5,7 +5,9 @@ The documents of a source are put in a random but fixed order and cut into block
 source, then the first blocks of one more pass. A binary tree deals the quotas out among output
 shards: each node splits the vector of block counts of its sources between its halves by a
 multivariate hypergeometric draw, so every shard gets a fair random share of each source and
-quotas stay exact. Each shard takes disjoint blocks of a source and shuffles its documents.
+quotas stay exact. The blocks of a source, those of all passes together, are put in a random but
+fixed order of their own, and each shard takes the next ones of that order, so that early and late
+passes are spread over all shards. A shard shuffles its documents.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwright.functions.blocks import running_total
-from fleetwright.llm.common import row_key, store, word_count
+from fleetwright.functions.blocks import ordinal, running_total
+from fleetwright.llm.common import free_names, row_key, store, word_count
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 1 << 14
@@ -155,13 +157,19 @@ def draws(
         (F.col("t.pass") * F.col("per_pass") + F.least("block", F.col("per_pass") - 1)).alias("unit"),
     )
     each = store(each, "drawn")
-    quotas = store(each.groupBy("none", "src").agg((F.max("unit") + 1).alias("units")), "quotas")
+    # Blocks by the hash of their numbers; a source has few blocks for its rows.
+    units = each.select("none", "src", "unit").distinct().withColumn("code", F.xxhash64(F.lit(seed), "src", "unit"))
+    units = units.withColumn("part", F.shiftright("code", 50))
+    units = ordinal(units, ["none", "src"], "part", ["code", "unit"], "spot", start=0)
+    units = store(units.select("none", "src", "unit", "spot"), "units")
+    quotas = store(units.groupBy("none", "src").agg(F.count("*").alias("units")), "quotas")
     total = each.agg(F.sum("words")).first()[0] or 0
     levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, total / shard_words))))))
-    units = split_tree(quotas, levels, seed).select(
-        "none", "src", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("unit")
+    spots = split_tree(quotas, levels, seed).select(
+        "none", "src", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("spot")
     )
-    drawn = each.join(store(units, "units"), ["none", "src", "unit"]).select(
+    dealt = store(units.join(spots, ["none", "src", "spot"]).select("none", "src", "unit", "shard"), "dealt")
+    drawn = each.join(dealt, ["none", "src", "unit"]).select(
         "row_no", "doc_id", "place", "pass", "words", "shard",
         F.xxhash64(F.lit(seed), "shard", "place", "pass").alias("shuffle"),
     )
@@ -178,20 +186,22 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, seed: int = 8, **options) -> DataFrame:
-    """The mixed corpus: the columns of `docs`, each row as often as it is drawn, whole; rows of
-    a shard are together and shuffled."""
+    """The mixed corpus: the columns of `docs`, whatever these are called, each row as often as it
+    is drawn, whole; rows of a shard are together and shuffled."""
+    none, name, place, many, one, shard, shuffle = free_names(docs, "_none", "_id", "_place", "_draws", "_draw", "shard", "shuffle")
+    keys = [none, name, place]
+    named = dict(zip((none, name), row_key("doc_id").values(), strict=True))
     _, drawn = draws(docs, seed=seed, cut=False, **options)
-    keys = ["_none", "_id", "_place"]
     times = (
-        drawn.withColumns(row_key("doc_id")).withColumnRenamed("place", "_place").groupBy(*keys)
-        .agg(F.collect_list(F.struct("shard", "shuffle")).alias("_draws"))
+        drawn.withColumns(named).withColumnRenamed("place", place).groupBy(*keys)
+        .agg(F.collect_list(F.struct("shard", "shuffle")).alias(many))
     )
     # Rows that repeat doc_id and text are counted together and come back as often as drawn.
-    marked = docs.withColumns({**row_key("doc_id"), "_place": order_key(seed)}).dropDuplicates(keys)
-    out = marked.join(times, keys).select(*docs.columns, F.explode("_draws").alias("_d"))
+    marked = docs.withColumns({**named, place: order_key(seed)}).dropDuplicates(keys)
+    out = marked.join(times, keys).select(*docs.columns, F.explode(many).alias(one))
     return (
-        out.select(*docs.columns, "_d.shard", "_d.shuffle")
-        .repartition("shard")
-        .sortWithinPartitions("shard", "shuffle")
+        out.select(*docs.columns, F.col(one)["shard"].alias(shard), F.col(one)["shuffle"].alias(shuffle))
+        .repartition(shard)
+        .sortWithinPartitions(shard, shuffle)
         .select(*docs.columns)
     )

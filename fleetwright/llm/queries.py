@@ -82,7 +82,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken_words(table(spark, sf_dir, "documents")).drop("shards")
+    return taken_words(table(spark, sf_dir, "documents"))
 
 
 @query
