@@ -37,8 +37,10 @@ class Graph:
 
 
 def _distances(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-    diff = x[ids] - q[:, None, :]
-    return np.einsum("bmd,bmd->bm", diff, diff)
+    # In double precision a square can still overflow; such nodes are the farthest, but no less found.
+    with np.errstate(over="ignore"):
+        diff = x[ids] - q[:, None, :]
+        return np.minimum(np.einsum("bmd,bmd->bm", diff, diff), np.finfo(np.float64).max)
 
 
 def search_layer(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +183,7 @@ def build_index(rows: DataFrame) -> DataFrame:
         x = np.array(group["embedding"].tolist(), dtype=np.float64)
         ids = group["vec_id"].to_numpy(dtype=np.int64)
         distinct, node = np.unique(x, axis=0, return_inverse=True)
-        graph, order = build(distinct.astype(np.float32), seed=int(key[1]))
+        graph, order = build(distinct, seed=int(key[1]))
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         node = place[node.reshape(-1)]
@@ -216,9 +218,9 @@ def _answers(row: dict, k: int, width: int) -> pd.DataFrame:
     offsets, ids = np.frombuffer(row["offsets"], dtype=np.int64), np.frombuffer(row["ids"], dtype=np.int64)
     query_ids = np.frombuffer(row["query_ids"], dtype=np.int64)
     q = np.frombuffer(row["query_vectors"]).reshape(-1, dim)
-    graph, out = Graph(x.astype(np.float32), layers), []
+    graph, out = Graph(x, layers), []
     for at in range(0, len(q), 256):
-        for own, vector, nodes in zip(query_ids[at:], q[at:], search(graph, q[at : at + 256].astype(np.float32), width), strict=False):
+        for own, vector, nodes in zip(query_ids[at:], q[at:], search(graph, q[at : at + 256], width), strict=False):
             nodes = nodes[nodes >= 0]
             exact = np.sqrt(((x[nodes] - vector) ** 2).sum(axis=1))
             got_ids, got_d = [], []
