@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
+SAMPLE_LINES = 64
+LINE_CHARS = 2_000
 SAMPLE_ROWS = 3000
 SURE = 0.9
 ROUNDS = 8
@@ -268,25 +271,33 @@ def added_spans(model: Field, text: str, base: list[Span]) -> list[Span]:
     p = marginals(model, found, known)
     label = np.where((known == 0) & (p.max(axis=1) >= SURE), p.argmax(axis=1), 0)
     agreed = known.copy()
-    for _ in range(len(found.starts)):
-        fresh = [(a, b) for a, b in found.skip if (agreed[a] > 0) != (agreed[b] > 0)]
-        moved = False
-        for a, b in fresh:
-            i, j = (a, b) if agreed[b] > 0 else (b, a)
-            if agreed[i] == 0 and label[i] == agreed[j] and label[i] > 0:
-                agreed[i], moved = label[i], True
-        if not moved:
-            break
-    pick = np.flatnonzero((agreed > 0) & (known == 0))
+    linked: dict[int, list[int]] = {}
+    for i, j in found.skip:
+        linked.setdefault(i, []).append(j)
+        linked.setdefault(j, []).append(i)
+    todo = [i for i in linked if agreed[i] > 0]
+    while todo:
+        i = todo.pop()
+        for j in linked[i]:
+            if agreed[j] == 0 and label[j] == agreed[i]:
+                agreed[j] = label[j]
+                todo.append(j)
     near = set(found.chain)
+    first = list(range(len(label)))  # of the run of neighbours with one label
+    for i in range(1, len(label)):
+        if (i - 1, i) in near and known[i - 1] == 0 and label[i - 1] == label[i]:
+            first[i] = first[i - 1]
+    held = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in held]
+    reach = np.maximum.accumulate([b for _, b in held])
     out: list[Span] = []
-    for i in pick:
-        low = int(i)
-        while low > 0 and (low - 1, low) in near and known[low - 1] == 0 and label[low - 1] == agreed[i]:
-            low -= 1
-        span = (int(agreed[i]) - 1, found.starts[low], found.ends[i])
-        if all(span[2] <= a or b <= span[1] for _, a, b in base + out):
-            out.append(span)
+    for i in np.flatnonzero((agreed > 0) & (known == 0)).tolist():
+        low, high = found.starts[first[i]], found.ends[i]
+        before = bisect_left(starts, high)
+        # Base spans that begin before the end of this one must be over by its begin, and so must
+        # the one added last.
+        if (before == 0 or reach[before - 1] <= low) and (not out or out[-1][2] <= low):
+            out.append((int(agreed[i]) - 1, low, high))
     return out
 
 
@@ -295,16 +306,27 @@ def listed(spans: list[Span]) -> str:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
-    """Train on about `sample_rows` texts with a digit or @, drawn by a hash of doc_id and text."""
-    marked = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("doc_id", "text")
-    total = marked.count()
-    share = min(1.0, sample_rows / max(total, 1))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))
+    """Train on `sample_rows` texts with a digit or @, or on all there are.
+
+    Those with the smallest hashes of doc_id and text are taken; repeated rows count as one. Of each
+    text up to `SAMPLE_LINES` marked lines are used, spread evenly over it, with `LINE_CHARS`
+    characters each, so that long texts are drawn as well and the sample stays bounded.
+    """
+    marked = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    drawn = marked.select("key").distinct().orderBy("key").limit(sample_rows)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[0-9@]"))
     # Only lines with a marked token are needed, and their order tells nothing.
-    lines = marked.where(draw).select(
-        F.array_join(F.filter(F.split("text", "\n"), lambda x: x.rlike("[0-9@]")), "\n").alias("t")
+    shown = F.least(F.size("lines"), F.lit(SAMPLE_LINES))
+    place = lambda i: (i * F.size("lines") / shown).cast("int") + 1
+    picked = F.transform(F.sequence(F.lit(0), shown - 1), lambda i: F.substring(F.element_at("lines", place(i)), 1, LINE_CHARS))
+    found = (
+        marked.join(F.broadcast(drawn), "key")  # `sample_rows` numbers
+        .select("key", lines.alias("lines"))
+        .select("key", F.array_join(picked, "\n").alias("t"))
+        .groupBy("key")
+        .agg(F.min("t").alias("t"))
     )
-    return train(sorted(r["t"] for r in lines.collect()))
+    return train(sorted(r["t"] for r in found.collect()))
 
 
 def find_personal_data(docs: DataFrame, model: Field) -> DataFrame:
