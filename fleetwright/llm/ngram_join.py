@@ -5,7 +5,8 @@
    hence one among the first `n - ceil(percent * n) + 1` of each, whatever order all shingles are
    put in (prefix filter). The first order puts rare shingles first: frequencies come from a table
    of hashed counts over all documents, of fixed size. Any order finds all links; a rough count
-   only makes lists longer. The others are random orders.
+   only makes lists longer. The others are random orders, with prefixes of twice the length, of which
+   sets that reach the threshold share as many as the shorter prefix has.
 3. Inverted lists over the first order's prefixes generate pairs. Pairs of short lists must pass
    the size filter and share prefix shingles in all other orders as well; those that remain are
    verified on full sets.
@@ -56,6 +57,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def marked_length(n: int, percent: int) -> int:
+    """Length of the prefixes in random orders. Of these, sets at the threshold share as many
+    shingles as the prefix of the smaller one in the first order has."""
+    return min(n, 2 * prefix_length(n, percent) - 1)
+
+
 def _texts(frames: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     for frame in frames:
         for at in range(0, len(frame), _BATCH):
@@ -128,8 +135,8 @@ def rare_first(values: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, floa
 def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
     """(set_key, n, centre, first, others): each distinct set with its prefixes in all orders.
 
-    `first` holds shingles. `others` holds one array of 16-bit marks per random order: sets that
-    share a prefix shingle share its mark.
+    `first` holds shingles. `others` holds one array of distinct 16-bit marks per random order:
+    sets that share a prefix shingle share its mark.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -147,7 +154,8 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> D
                 others = []
                 for seed in ORDERS:
                     turned = mix(values ^ seed)
-                    head = np.partition(turned, length - 1)[:length]
+                    most = marked_length(len(values), percent)
+                    head = np.partition(turned, most - 1)[:most]
                     others.append(np.unique((head >> np.uint64(8)).astype(np.uint16).view(np.int16)))
                 rows.append((key, len(values), centre, ordered[:length].view(np.int64), others))
             if rows:
@@ -182,28 +190,41 @@ def filtered_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     """(a, b): pairs of short lists that the filters of all orders let through."""
     few = rows.where("not long").select("token", F.col("node").alias("a"))
     pairs = few.join(few.withColumnRenamed("a", "b"), "token").where("a < b").select("a", "b").distinct()
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("others").alias("x"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("others").alias("y"))
-    meet = [F.arrays_overlap(F.col("x")[i], F.col("y")[i]) for i in range(len(ORDERS))]
+    pairs = store(pairs, "ngram-raw")
+    asked = store(pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), "ngram-asked")
+    # Each set with its number of prefix shingles, and how many of its marks stand for several.
+    allowed = F.ceil(F.col("n") * percent / 100).cast("bigint")
+    least = (F.col("n") - allowed + 1).alias("least")
+    held = nodes.join(asked, "node", "left_semi").select("node", "n", "others", least)
+    lost = F.transform("others", lambda x: F.least("n", 2 * F.col("least") - 1) - F.size(x))
+    held = held.withColumn("lost", lost)
+    one = held.select(*[F.col(c).alias(f"{c}_a") for c in held.columns]).withColumnRenamed("node_a", "a")
+    two = held.select(*[F.col(c).alias(f"{c}_b") for c in held.columns]).withColumnRenamed("node_b", "b")
     kept = pairs.join(one, "a").join(two, "b").where(sizes_allow("n_a", "n_b", percent))
-    for test in meet:
-        kept = kept.where(test)
+    for i in range(len(ORDERS)):
+        shared = F.size(F.array_intersect(F.col("others_a")[i], F.col("others_b")[i]))
+        wanted = F.least("least_a", "least_b") - F.least(F.col("lost_a")[i], F.col("lost_b")[i])
+        kept = kept.where((shared >= wanted) & F.arrays_overlap(F.col("others_a")[i], F.col("others_b")[i]))
     return kept.select("a", "b")
 
 
 def full_sets(docs: DataFrame, counted: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) for the nodes of `wanted` (node, set_key), from the texts of their documents."""
+    """(node, shingles) for the nodes of `wanted` (node, set_key), from the texts of their documents.
+
+    The small tables are stored first, so that Spark knows their size when it plans: as long as
+    they fit into its limit for broadcasts, no text is shuffled to find the documents.
+    """
     named = counted.join(wanted, "set_key").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     owners = named.select(*[c.alias(n) for n, c in row_key("doc_id").items()]).distinct()
     texts = docs.select(*[c.alias(n) for n, c in row_key("doc_id").items()], "text")
-    texts = texts.join(owners, ["_none", "_id"], "left_semi").select("text")
+    texts = texts.join(store(owners, "ngram-owners"), ["_none", "_id"], "left_semi").dropDuplicates()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, sets in _texts(frames, width):
             yield pd.DataFrame({"set_key": [set_key(v) for v in sets], "shingles": [v.view(np.int64) for v in sets]})
 
-    sets = texts.mapInPandas(run, "set_key binary, shingles array<bigint>")
-    return sets.join(wanted, "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = texts.select("text").mapInPandas(run, "set_key binary, shingles array<bigint>")
+    return sets.join(wanted, "set_key").select("node", "shingles")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,11 +233,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     every = F.size("x") + F.size("y") - both
-    return (
-        pairs.join(one, "a")
-        .join(two, "b")
-        .select("a", "b", (F.lit(1) - both / every).alias("distance"), (both * 100 >= every * percent).alias("linked"))
-    )
+    met = pairs.join(two, "b").join(one, "a")
+    # A set that several texts of one doc_id have in common may be there twice.
+    return met.select(
+        *pairs.columns, (F.lit(1) - both / every).alias("distance"), (both * 100 >= every * percent).alias("linked")
+    ).dropDuplicates(pairs.columns)
 
 
 def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -258,6 +279,8 @@ def _forest(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         tree = _Union(group["component"].unique().tolist())
         names, parts = group["node"].to_numpy(), group["component"].to_numpy()
         sizes = group["n"].to_numpy()
+        prefix = np.array([prefix_length(n, percent) for n in sizes.tolist()])
+        full = np.minimum(sizes, 2 * prefix - 1)
         arrays = {c: group[c].tolist() for c in ("shingles", "first", "second", "third")}
         left, right = np.flatnonzero(group["is_open"].to_numpy()), np.flatnonzero(~group["is_open"].to_numpy())
         links = []
@@ -271,7 +294,12 @@ def _forest(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 may = (roots[0][:, None] != roots[1][None, :]) & (least * 100 >= most * percent)
                 for order in ("first", "second", "third"):
                     if may.any():
-                        may &= overlaps(*[[arrays[order][k] for k in side] for side in (mine, other)]) > 0
+                        wanted = 1
+                        if order != "first":
+                            lost = full - np.array([len(x) for x in arrays[order]])
+                            wanted = np.minimum(prefix[mine][:, None], prefix[other][None, :])
+                            wanted = np.maximum(wanted - np.minimum(lost[mine][:, None], lost[other][None, :]), 1)
+                        may &= overlaps(*[[arrays[order][k] for k in side] for side in (mine, other)]) >= wanted
                 rows, cols = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
                 if not len(rows):
                     continue
@@ -345,36 +373,37 @@ def linked_nodes(
 ) -> DataFrame:
     """(node, component) for every node with a link."""
     rows = lists(nodes, short)
-    pairs = store(filtered_pairs(rows, nodes, percent), "ngram-pairs")
-    star = store(rows.where("long and hub <> node").select("hub", "node").distinct(), "ngram-star")
-    wanted = pairs.select("a").union(pairs.select("b")).union(star.select("hub")).union(star.select("node"))
-    wanted = wanted.toDF("node").distinct().join(nodes.select("node", "set_key"), "node")
+    pairs = filtered_pairs(rows, nodes, percent).withColumn("led", F.lit(False))
+    star = rows.where("long and hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = store(pairs.union(star.withColumn("led", F.lit(True))), "ngram-pairs")
+    wanted = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+    wanted = store(wanted.join(nodes.select("node", "set_key"), "node"), "ngram-wanted")
     sets = store(full_sets(docs, counted, wanted, width), "ngram-sets")
-    direct = verified(pairs, sets, percent).where("linked").select("a", "b")
-    around = store(verified(star.toDF("a", "b"), sets, percent), "ngram-around")
-    edges = store(direct.union(around.where("linked").select("a", "b")), "ngram-edges")
-    found = store(components(edges), "ngram-components")
+    around = store(verified(pairs, sets, percent), "ngram-around")
+    edges = store(around.where("linked").select("a", "b"), "ngram-edges")
+    found = store(components(edges, spread=True), "ngram-components")
+    around = around.where("led")
     members = around.select(F.col("a").alias("hub"), F.col("b").alias("node"), "distance")
-    members = members.union(star.select("hub").distinct().select("hub", F.col("hub").alias("node"), F.lit(0.0)))
+    members = members.union(around.select("a").distinct().select(F.col("a").alias("hub"), F.col("a").alias("node"), F.lit(0.0)))
     apart = _with_component(_with_component(members, found, "node", "of_node"), found, "hub", "of_hub")
     left = store(apart.where("of_node <> of_hub").select("hub", "node"), "ngram-left")
     if left.isEmpty():
         return found
     for _ in range(hubs - 1):
-        chosen = left.groupBy("hub").agg(F.max("node").alias("second"))
+        chosen = store(left.groupBy("hub").agg(F.max("node").alias("second")), "ngram-hubs")
         asked = left.join(chosen, "hub").where("node <> second").select(F.col("second").alias("a"), F.col("node").alias("b"))
         new = verified(asked.distinct(), sets, percent).where("linked").select("a", "b")
         edges = store(edges.union(new), "ngram-edges")
-        found = store(components(edges), "ngram-components")
+        found = store(components(edges, spread=True), "ngram-components")
         tested = _with_component(left.join(chosen, "hub"), found, "node", "of_node")
         tested = _with_component(tested, found, "second", "of_second")
         left = store(tested.where("of_node <> of_second").select("hub", "node"), "ngram-left")
     apart = _with_component(_with_component(members, found, "node", "component"), found, "hub", "of_hub")
     apart = apart.withColumn("is_open", F.col("component") != F.col("of_hub"))
-    busy = apart.where("is_open").select("hub").distinct()
+    busy = store(apart.where("is_open").select("hub").distinct(), "ngram-busy")
     apart = apart.join(busy, "hub").join(nodes.select("node", "n"), "node")
     more = block_links(store(apart.drop("of_hub"), "ngram-apart"), nodes, sets, percent, block_values)
-    return components(store(edges.union(more), "ngram-edges"))
+    return components(store(edges.union(more), "ngram-edges"), spread=True)
 
 
 def ngram_join(
