@@ -12,8 +12,9 @@
    verified on full sets.
 4. A long list has a hub, the set whose shingles are the most frequent. Its members are compared
    with the hub only; linked members need no more.
-5. What is not connected to its hub by then gets further hubs of its own (`hubs` rounds), and is
-   at last compared with all members of the first hub's lists, in blocks. The distance to the
+5. Connected hubs that have members not connected to them are one family; one of the hubs stands for
+   all and is compared with all members. What is still open gets further hubs of its own (`hubs` - 1
+   rounds), and is at last compared with all members of the family, in blocks. The distance to the
    hub obeys the triangle inequality, so that only blocks of adjacent distances and sizes meet;
    within them the filters of all orders are intersected again before full sets are. A task
    returns a spanning forest of the links it finds, never all pairs.
@@ -33,6 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetwright.functions.lookup import look_up
 from fleetwright.llm.common import packed, row_key, store, unpacked
 from fleetwright.llm.components import components
 from fleetwright.llm.shingles import mix, set_key, shingle_sets
@@ -389,20 +391,33 @@ def linked_nodes(
     left = store(apart.where("of_node <> of_hub").select("hub", "node"), "ngram-left")
     if left.isEmpty():
         return found
+    # Connected hubs with open members are one family, and one of them stands for all.
+    busy = store(left.select("hub").distinct(), "ngram-busy")
+    mine = _with_component(members.join(busy, "hub"), found, "hub", "family")
+    held = mine.groupBy("family", "hub").count()
+    chiefs = held.groupBy("family").agg(F.max(F.struct("count", "hub")).alias("top"))
+    chiefs = store(chiefs.select("family", F.col("top.hub").alias("chief")), "ngram-chiefs")
+    asked = look_up(mine, chiefs, ["family"], ["node"]).where("chief <> node")
+    asked = asked.select(F.col("chief").alias("a"), F.col("node").alias("b")).distinct()
+    around = store(verified(asked, sets, percent), "ngram-around")
+    edges = store(edges.union(around.where("linked").select("a", "b")), "ngram-edges")
+    found = store(components(edges, spread=True), "ngram-components")
+    alone = chiefs.select(F.col("chief").alias("hub"), F.col("chief").alias("node"), F.lit(0.0))
+    members = around.select(F.col("a").alias("hub"), F.col("b").alias("node"), "distance").union(alone)
     for _ in range(hubs - 1):
+        apart = _with_component(_with_component(members, found, "node", "of_node"), found, "hub", "of_hub")
+        left = store(apart.where("of_node <> of_hub").select("hub", "node"), "ngram-left")
         chosen = store(left.groupBy("hub").agg(F.max("node").alias("second")), "ngram-hubs")
-        asked = left.join(chosen, "hub").where("node <> second").select(F.col("second").alias("a"), F.col("node").alias("b"))
-        new = verified(asked.distinct(), sets, percent).where("linked").select("a", "b")
+        asked = look_up(left, chosen, ["hub"], ["node"]).where("node <> second")
+        asked = asked.select(F.col("second").alias("a"), F.col("node").alias("b")).distinct()
+        new = verified(asked, sets, percent).where("linked").select("a", "b")
         edges = store(edges.union(new), "ngram-edges")
         found = store(components(edges, spread=True), "ngram-components")
-        tested = _with_component(left.join(chosen, "hub"), found, "node", "of_node")
-        tested = _with_component(tested, found, "second", "of_second")
-        left = store(tested.where("of_node <> of_second").select("hub", "node"), "ngram-left")
     apart = _with_component(_with_component(members, found, "node", "component"), found, "hub", "of_hub")
-    apart = apart.withColumn("is_open", F.col("component") != F.col("of_hub"))
-    busy = store(apart.where("is_open").select("hub").distinct(), "ngram-busy")
-    apart = apart.join(busy, "hub").join(nodes.select("node", "n"), "node")
-    more = block_links(store(apart.drop("of_hub"), "ngram-apart"), nodes, sets, percent, block_values)
+    apart = store(apart.withColumn("is_open", F.col("component") != F.col("of_hub")).drop("of_hub"), "ngram-apart")
+    still = store(apart.where("is_open").select("hub").distinct(), "ngram-still")
+    apart = apart.join(still, "hub").join(nodes.select("node", "n"), "node")
+    more = block_links(store(apart, "ngram-cells-of"), nodes, sets, percent, block_values)
     return components(store(edges.union(more), "ngram-edges"), spread=True)
 
 
