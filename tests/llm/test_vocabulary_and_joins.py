@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,64 @@ def test_prefixes_meet_in_every_order():
             assert len(np.intersect1d(*first))
 
 
+def test_sketches_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        values = np.unique(rng.integers(0, 1 << 62, int(rng.integers(2, 400))).astype(np.uint64))
+        one, two = (np.sort(rng.permutation(values)[: int(rng.integers(1, len(values) + 1))]) for _ in range(2))
+        both = len(np.intersect1d(one, two))
+        apart = len(one) + len(two) - 2 * both
+        found = ngram_join.differences(*[pd.Series([ngram_join.sketch(x)]) for x in (one, two)])
+        assert found[0] <= apart and (found[0] - apart) % 2 == 0
+        linked = 100 * both >= 85 * (len(one) + len(two) - both)
+        assert linked == (apart <= ngram_join.most_apart(len(one) + len(two), 85))
+
+
+def test_ngram_join_reads_few_full_sets(spark, monkeypatch):
+    """Texts that share most of their shingles, too few for a link: no full set is moved."""
+    rng = random.Random(9)
+    names = [f"w{i}" for i in range(100_000)]
+    passage = [rng.choice(names) for _ in range(100)]
+    texts = [" ".join(passage + [rng.choice(names) for _ in range(17)]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    full_sets, asked = ngram_join.full_sets, []
+
+    def counting(docs, counted, wanted, width):
+        asked.append(wanted.count())
+        return full_sets(docs, counted, wanted, width)
+
+    monkeypatch.setattr(ngram_join, "full_sets", counting)
+    want = brute_components(list(enumerate(texts)), 4, 85)
+    assert joined(docs)[0] == want == {i: (114, i) for i in range(60)}
+    assert sum(asked) == 0
+
+
+@pytest.mark.parametrize(("tiles", "block_values"), [(1, 300), (2, 1000), (16, 1_000_000)])
+def test_linked_sets_meet_in_blocks(spark, monkeypatch, tiles, block_values):
+    """One family of open sets, of many sizes: all links are between the sides of a pair of tiles."""
+    monkeypatch.setattr(ngram_join, "_TILES", tiles)
+    rng = random.Random(11)
+    names = [f"w{i}" for i in range(20_000)]
+    texts = [t for _ in range(12) for t in family(rng, names, 4, rng.randint(5, 200), 0, 3)]
+    docs = spark.createDataFrame([(t,) for t in set(texts)], "text string")
+    levels = np.zeros((2, ngram_join.SLOTS), np.uint8)
+    nodes = ngram_join.distinct_nodes(ngram_join.prefixes(docs, 4, 85, levels))
+    rows = nodes.collect()
+    node_of = {bytes(r["set_key"]): r["node"] for r in rows}
+    members = nodes.select(F.lit(rows[0]["node"]).alias("family"), "node", F.col("node").alias("component"))
+    members = members.withColumn("is_open", F.col("node") != F.col("family"))
+    met = ngram_join.block_candidates(members, nodes, 85, block_values).collect()
+    held = defaultdict(lambda: (set(), set()))
+    for r in met:
+        held[tuple(r[c] for c in ngram_join.CELL)][r["is_open"]].add(r["node"])
+    sets = {node_of[ngram_join.set_key(v)]: set(v.tolist()) for v in ngram_join.shingle_sets(texts, 4)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert links
+    for a, b in links:
+        assert any((a in two and b in one) or (b in two and a in one) for one, two in held.values())
+    assert len(held) > 3 or tiles == 16
+
+
 # Spelling variants
 
 
