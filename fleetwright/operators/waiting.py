@@ -106,7 +106,8 @@ def wait_until_ready(
         .groupBy("target", "a")
         .agg(F.min("k").alias("k"))
     )
-    met = look_up(starts, cut_lineage(found), ["target", "a"], [waiter], "left")
+    # As many rows as distinct starts, in a small file: Spark would send every copy of them to all tasks.
+    met = look_up(starts, cut_lineage(found).hint("merge"), ["target", "a"], [waiter], "left")
     ready = F.col("k").isNotNull()
     moment = F.timestamp_micros(F.col("a") + F.col("k") * F.lit(step))
     return met.select(

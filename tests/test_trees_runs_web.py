@@ -140,6 +140,13 @@ def test_wait_equals_polling(spark, seed):
         assert got[i] == ((k, "ready") if k else (6, "timeout")), (i, target, start)
 
 
+def test_wait_sends_no_starts_to_all_tasks(spark):
+    """What was found grows with the waiters and lies in a small file; it is shuffled, never broadcast."""
+    w, o = as_times(spark, [(i, "a", i) for i in range(40)], [("a", 10, True)])
+    plan = waiting.wait_until_ready(w, o, 5, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_lifecycle(spark):
     at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
     states = ["init", "new", "pending", "progress", "done"]
