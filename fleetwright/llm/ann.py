@@ -3,7 +3,8 @@
 Rows are dealt into shards of bounded size. Each shard becomes a hierarchical graph whose layers
 are flat arrays of neighbour numbers, stored as one row. Queries are gathered in blocks, every
 block visits every shard, and the shards' best rows are merged. All of a shard's insertions and
-of a block's searches advance together in numpy.
+of a block's searches advance together in numpy, in double precision; vectors are kept in the
+precision they came in. Blocks are copied once per group of shards, and these copies are shuffled.
 
 Equal vectors of a shard are one node with a list of ids, so copies cannot crowd a graph.
 """
@@ -17,11 +18,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from fleetwright.llm.common import store
 
 SHARD_ROWS = 4096
 QUERY_BLOCK = 512
+# Groups of shards that get the queries, on small clusters; a group is searched by one task.
+SHARD_GROUPS = 64
 LINKS = 16  # of a node in upper layers; twice as many in the lowest
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 96
@@ -173,11 +177,16 @@ def usable(vector: str = "embedding") -> Column:
     return F.coalesce(good & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _precision(rows: DataFrame) -> str:
+    return "float32" if isinstance(rows.schema["embedding"].dataType.elementType, FloatType) else "float64"
+
+
 INDEX = "dim int, shard int, nodes int, vectors binary, offsets binary, ids binary, layers array<binary>"
 
 
 def build_index(rows: DataFrame) -> DataFrame:
     """One row per shard of `rows` (dim, shard, vec_id, embedding): the graph as flat arrays."""
+    precision = _precision(rows)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x = np.array(group["embedding"].tolist(), dtype=np.float64)
@@ -190,7 +199,7 @@ def build_index(rows: DataFrame) -> DataFrame:
         by_node = np.lexsort((ids, node))
         offsets = np.searchsorted(node[by_node], np.arange(len(order) + 1))
         return pd.DataFrame(
-            [[key[0], key[1], len(order), distinct[order].tobytes(), offsets.astype(np.int64).tobytes(), ids[by_node].tobytes(),
+            [[key[0], key[1], len(order), distinct[order].astype(precision).tobytes(), offsets.astype(np.int64).tobytes(), ids[by_node].tobytes(),
               [layer.astype(np.int32).tobytes() for layer in graph.layers]]],
             columns=["dim", "shard", "nodes", "vectors", "offsets", "ids", "layers"],
         )
@@ -200,9 +209,10 @@ def build_index(rows: DataFrame) -> DataFrame:
 
 def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
     """Queries (vec_id, embedding) of one dimension as rows of up to about QUERY_BLOCK queries."""
+    precision = _precision(queries)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(group["embedding"].tolist(), dtype=np.float64)
+        x = np.array(group["embedding"].tolist(), dtype=precision)
         ids = group["vec_id"].to_numpy(dtype=np.int64)
         return pd.DataFrame([[key[0], ids.tobytes(), x.tobytes()]], columns=["dim", "query_ids", "query_vectors"])
 
@@ -210,15 +220,15 @@ def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("dim", "block").applyInPandas(run, "dim int, query_ids binary, query_vectors binary")
 
 
-def _answers(row: dict, k: int, width: int) -> pd.DataFrame:
+def _answers(row: dict, k: int, width: int, precision: str) -> pd.DataFrame:
     """The best k rows of one shard for each query of one block."""
     n, dim = row["nodes"], row["dim"]
-    x = np.frombuffer(row["vectors"]).reshape(n, dim)
+    x = np.frombuffer(row["vectors"], precision).reshape(n, dim).astype(np.float64)
     layers = [np.frombuffer(b, dtype=np.int32).reshape(n, -1).astype(np.int64) for b in row["layers"]]
     offsets, ids = np.frombuffer(row["offsets"], dtype=np.int64), np.frombuffer(row["ids"], dtype=np.int64)
     query_ids = np.frombuffer(row["query_ids"], dtype=np.int64)
-    q = np.frombuffer(row["query_vectors"]).reshape(-1, dim)
-    graph, out = Graph(x, layers), []
+    q = np.frombuffer(row["query_vectors"], precision).reshape(-1, dim).astype(np.float64)
+    graph, asked, found, scores = Graph(x, layers), [], [], []
     for at in range(0, len(q), 256):
         for own, vector, nodes in zip(query_ids[at:], q[at:], search(graph, q[at : at + 256], width), strict=False):
             nodes = nodes[nodes >= 0]
@@ -231,8 +241,10 @@ def _answers(row: dict, k: int, width: int) -> pd.DataFrame:
                 got_d.append(np.full(len(some), d))
             got_ids, got_d = np.concatenate(got_ids), np.concatenate(got_d)
             best = np.lexsort((got_ids, got_d))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": got_ids[best], "score": got_d[best]}))
-    return pd.concat(out)
+            asked.append(np.full(len(best), own))
+            found.append(got_ids[best])
+            scores.append(got_d[best])
+    return pd.DataFrame({"query_id": np.concatenate(asked), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
 
 def nearest(
@@ -250,9 +262,10 @@ def nearest(
     components. Score is the Euclidean distance in double precision; ties go to the smaller
     vec_id. Unusable vectors and rows without vec_id take no part. Other columns are ignored.
     """
+    precision = _precision(embeddings)
     good = embeddings.where(usable() & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("bigint").alias("vec_id"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("embedding").cast("array<float>" if precision == "float32" else "array<double>").alias("embedding"),
         F.size("embedding").alias("dim"),
         F.monotonically_increasing_id().alias("row_no"),
     )
@@ -265,14 +278,17 @@ def nearest(
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("embedding", "dim")).alias("q"))
     asked = asked.select("vec_id", "q.embedding", "q.dim")
     blocks = query_blocks(asked, max(1, -(-count // (every * QUERY_BLOCK))))
-    # Each block of queries goes to each shard once; nothing is paired row by row.
-    sent = store(blocks, "queries").select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    # Each block of queries goes to each group of shards once; nothing is paired row by row. The copies
+    # lie in a small file, but are too many to be broadcast.
+    groups = min(shards, max(SHARD_GROUPS, 4 * embeddings.sparkSession.sparkContext.defaultParallelism))
+    sent = store(blocks, "queries").select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    dealt = index.withColumn("group", F.col("shard") % F.lit(groups))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.to_dict("records"):
-                yield _answers(row, k, width)
+                yield _answers(row, k, width, precision)
 
-    found = index.join(sent, ["dim", "shard"]).mapInPandas(run, "query_id bigint, vec_id bigint, score double")
+    found = dealt.join(sent.hint("merge"), ["dim", "group"]).mapInPandas(run, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

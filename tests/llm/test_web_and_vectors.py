@@ -48,6 +48,21 @@ def test_warc(spark, odd_pages):
     assert warc.summary(warc.read_archives(warc.archive(odd_pages.limit(0)))).count() == 0
 
 
+def test_nearest_over_groups_of_shards(spark):
+    """More shards than groups: queries are copied once per group, by a shuffle, and meet every shard."""
+    x = np.random.default_rng(3).normal(size=(800, 4)).astype(np.float32)
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id bigint, embedding array<{kind}>")
+        found = ann.nearest(df, k=5, every=100, shard_rows=10)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found.collect()}
+        assert len(got) == 40
+        for q in range(0, 800, 100):
+            gap = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+            near = [i for i in np.argsort(gap, kind="stable") if i != q][:5]
+            assert [got[q, r + 1] for r in range(5)] == [(i, gap[i]) for i in near]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16)) + rng.integers(0, 4, (1500, 1)) * 3
