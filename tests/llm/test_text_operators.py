@@ -13,6 +13,7 @@ from tests_helpers import WORD, brute_components, check_packed
 import corpus_pipeline
 from fleetwright.llm import langid, mixing, packing, pii
 from fleetwright.llm.exact_dedup import directory, exact_dedup, keep_first
+from fleetwright.llm import near_dedup as near_dedup_module
 from fleetwright.llm.near_dedup import SKETCH, keep_one, least_listed, least_shared, near_dedup
 from fleetwright.llm.shingles import PIECE, shingle_sets, word_hashes
 
@@ -107,6 +108,28 @@ def test_near_dedup_families(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_near_dedup_shuffles_wanted_texts_only(spark, monkeypatch):
+    """Texts without a partner go before the shuffle, by a table of bits that loses no wanted key."""
+    plans = []
+    sets = near_dedup_module.full_sets
+
+    def seen(docs, width):
+        plans.append(docs._jdf.queryExecution().executedPlan().toString())
+        return sets(docs, width)
+
+    monkeypatch.setattr(near_dedup_module, "full_sets", seen)
+    rows = [(i, " ".join(f"w{i // 2 if i < 20 else i}x{j}" for j in range(60)) + (" end" if i % 2 else ""), "en", "s") for i in range(200)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup(rows_of(spark, rows), width=2).collect()}
+    assert got == {i: i - i % 2 if i < 20 else i for i in range(200)}
+    assert "inside(" in plans[0]
+    keys = spark.range(5000).select((F.col("id") % 7 == 0).alias("_none"), F.col("id").cast("string").alias("_id"))
+    wanted = keys.where("_id < '2'")
+    left = keys.where(near_dedup_module.may_hold(wanted, ["_none", "_id"]))
+    assert wanted.exceptAll(left).count() == 0
+    assert left.count() < wanted.count() + 0.2 * keys.count()
+    assert keys.where(near_dedup_module.may_hold(keys.limit(0), ["_none", "_id"])).count() == 0
+
+
 def test_near_dedup_where_the_partner_hides_values(spark):
     """47 of 58 shingles: the sketch of the larger set may hide ten of the shared ones."""
     rows = []
